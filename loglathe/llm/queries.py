@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import bpe, chat, media, mixing, oracles, quality, wordpiece
+from loglathe.llm import bpe, chat, media, mixing, oracles, quality, substring, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     found = [
         media.op1_media_columns,
+        substring.op2_substring_dedup,
         bpe.op3_bpe,
         quality.op4_quality_rules,
         wordpiece.op6_token_counts,
