@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import bpe, chat, media, mixing, oracles, quality, substring, wordpiece
+from loglathe.llm import bpe, chat, jaccard, media, mixing, oracles, quality, substring, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         substring.op2_substring_dedup,
         bpe.op3_bpe,
         quality.op4_quality_rules,
+        jaccard.op5_ngram_jaccard_join,
         wordpiece.op6_token_counts,
         mixing.op7_mixing_sources,
         chat.op10_chat_formatting,
