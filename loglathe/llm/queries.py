@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import bpe, chat, jaccard, media, mixing, oracles, quality, substring, wordpiece
+from loglathe.llm import bpe, chat, jaccard, language, media, mixing, oracles, quality, substring, toxicity, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         jaccard.op5_ngram_jaccard_join,
         wordpiece.op6_token_counts,
         mixing.op7_mixing_sources,
+        toxicity.op8_toxicity,
+        language.op9_language_id,
         chat.op10_chat_formatting,
     ]
     return {f.__name__: f for f in found}
