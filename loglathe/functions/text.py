@@ -1,0 +1,186 @@
+"""Text expressions: one-line forms, note lines, ages.  All stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _c(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def flatten(text: str | Column) -> Column:
+    """White space runs become one space; none at the ends."""
+    return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
+
+
+def clip(text: str | Column, n: int) -> Column:
+    """At most ``n`` characters, cut at a space if one stands in the last third."""
+    text = _c(text)
+    head = F.substring(text, 1, n - 1)
+    before = F.regexp_extract(head, r"(?s)^(.*) ", 1)
+    at_space = F.contains(head, F.lit(" ")) & (F.octet_length(before) > 2 * n // 3)
+    return F.when(F.length(text) <= n, text).when(at_space, F.concat(before, F.lit("…"))).otherwise(F.concat(head, F.lit("…")))
+
+
+def preview(text: str | Column) -> Column:
+    """Prose without its markdown marks and link targets."""
+    return F.translate(F.regexp_replace(_c(text), r"\]\([^)]*(\)|$)", ""), "`*_#>[]", "")
+
+
+def between(text: str | Column, start: str, end: str) -> Column:
+    """What stands between two tags, empty if they don't."""
+    return F.regexp_extract(_c(text), rf"(?s)\Q{start}\E(.*?)\Q{end}\E", 1)
+
+
+def slash_command(text: str | Column) -> Column:
+    """``/command args`` from its envelope; null if there is none."""
+    name = F.trim(between(text, "<command-name>", "</command-name>"))
+    args = F.trim(between(text, "<command-args>", "</command-args>"))
+    return F.when(name != "", F.trim(F.concat_ws(" ", name, args)))
+
+
+def base(path: str | Column) -> Column:
+    """A path's last part."""
+    return F.element_at(F.split(F.regexp_replace(_c(path), "/+$", ""), "/"), -1)
+
+
+def tilde(path: str | Column, home: str | Column) -> Column:
+    """The user's home directory as ``~``; ``home`` is a column, as rows come from many users."""
+    home = _c(home)
+    return F.when(F.coalesce(home, F.lit("")) == "", _c(path)).otherwise(F.replace(_c(path), home, F.lit("~")))
+
+
+def unslug(slug: str | Column) -> Column:
+    return F.replace(_c(slug), F.lit("-"), F.lit("/"))
+
+
+def line_count(text: str | Column) -> Column:
+    """Lines; a line end at the very end adds none."""
+    text = _c(text)
+    return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")))
+
+
+def pinch(text: str | Column, budget: int) -> Column:
+    """Both halves of a text over ``budget`` characters, with a note of what is left out."""
+    text = _c(text)
+    half = budget // 2
+    note = F.concat(F.lit("\n\n[… "), (F.length(text) - budget).cast("string"), F.lit(" characters elided …]\n\n"))
+    short = F.concat(F.substring(text, 1, half), note, F.right(text, F.lit(half)))
+    return F.when(F.length(text) <= budget, text).otherwise(short)
+
+
+def prompt_body(label: str | Column, text: str | Column, budget: int = 6000) -> Column:
+    return F.concat(F.lit("["), _c(label), F.lit("]\n"), pinch(text, budget))
+
+
+#: The marks of note lines and their aliases, by rank.
+MARKS = ("!", "·", "→")
+_ALIASES = ("[!⚠]", "[·*•-]", "[→>]")
+
+
+def note_rank(line: str | Column) -> Column:
+    """0 alert, 1 info, 2 link; an unmarked line is info."""
+    line = F.trim(_c(line))
+    return F.when(line.rlike(f"^{_ALIASES[0]}"), 0).when(line.rlike(f"^{_ALIASES[2]}"), 2).otherwise(1)
+
+
+def note_text(line: str | Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(_c(line)), "^[!⚠·*•→>-]", ""))
+
+
+def note_lines(gist: str | Column) -> Column:
+    """The lines below a gist's headline as (note, rank, text)."""
+    lines = F.slice(F.split(_c(gist), "\n"), 2, 1_000_000)
+    mark = lambda r: F.when(r == 0, "alert").when(r == 2, "link").otherwise("info")
+    return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.struct(mark(note_rank(x)).alias("note"), note_rank(x).alias("rank"), note_text(x).alias("text")))
+
+
+def _clean(line: Column) -> Column:
+    line = F.trim(F.regexp_replace(line, "^[-*•#]+", ""))
+    line = F.trim(F.regexp_replace(line, "^[\"'`]+|[\"'`]+$", ""))
+    return F.regexp_replace(line, r"\.$", "")
+
+
+def tidy(answer: str | Column) -> Column:
+    """An answer as headline and at most three marked lines, alerts first.  Lines end at the first
+    unmarked one below the headline."""
+    lines = F.filter(F.transform(F.split(F.trim(_c(answer)), "\n"), F.trim), lambda x: (x != "") & (_clean(note_text(x)) != ""))
+    head = clip(_clean(note_text(F.element_at(lines, 1))), 140)
+    below = F.slice(lines, 2, 1_000_000)
+    marked = lambda x: x.rlike("^[!⚠·*•→>-]")
+    stop = F.array_position(F.transform(below, marked), False)
+    below = F.slice(below, 1, F.least(F.lit(3), F.when(stop > 0, stop - 1).otherwise(F.size(below))).cast("int"))
+    mark = lambda r: F.when(r == 0, MARKS[0]).when(r == 2, MARKS[2]).otherwise(MARKS[1])
+    notes = F.transform(below, lambda x, i: F.struct(note_rank(x).alias("r"), i.alias("i"), F.concat(mark(note_rank(x)), F.lit(" "), clip(_clean(note_text(x)), 120)).alias("t")))
+    return F.when(F.size(lines) < 1, "").otherwise(F.array_join(F.concat(F.array(head), F.transform(F.array_sort(notes), lambda x: x.t)), "\n"))
+
+
+#: Phrases by which a model speaks to us instead of condensing.
+TELLS = (
+    "i need to see",
+    "please share",
+    "please provide",
+    "could you provide",
+    "i don't have",
+    "i do not have",
+    "no conversation",
+    "as an ai",
+    "i'm unable",
+    "i am unable",
+    "i cannot",
+)
+
+
+def deflected(answer: str | Column) -> Column:
+    return F.lower(_c(answer)).rlike("|".join(TELLS))
+
+
+def message_height(gist: str | Column) -> Column:
+    return F.lit(1) + F.size(note_lines(gist))
+
+
+def short_model(name: str | Column) -> Column:
+    """A model's name without vendor and date."""
+    tail = F.element_at(F.split(_c(name), "/"), -1)
+    return F.regexp_replace(F.regexp_replace(tail, r"^[a-z]+-(?=[a-z]+-[0-9])", ""), r"-\d{8}$", "")
+
+
+def tag(branch: str | Column, title: str | Column, session: str | Column) -> Column:
+    """Branch, else the title's last part, else the id's first six characters."""
+    full = lambda x: F.when(x != "", x)
+    return F.coalesce(full(_c(branch)), full(base(title)), F.substring(_c(session), 1, 6))
+
+
+def seconds_between(later: Column, earlier: Column) -> Column:
+    return F.unix_timestamp(later) - F.unix_timestamp(earlier)
+
+
+def ago(as_of: Column, ts: str | Column) -> Column:
+    """Age in words, by the limits 45 s, 90 min and 1 day."""
+    s = F.greatest(seconds_between(as_of, _c(ts)), F.lit(0))
+    n = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
+    return F.when(s < 45, "just now").when(s < 5400, n(60, "m ago")).when(s < 86400, n(3600, "h ago")).otherwise(n(86400, "d ago"))
+
+
+def short_ago(as_of: Column, ts: str | Column) -> Column:
+    s = F.greatest(seconds_between(as_of, _c(ts)), F.lit(0))
+    n = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
+    return F.when(s < 90, "now").when(s < 5400, n(60, "m")).when(s < 172800, n(3600, "h")).otherwise(n(86400, "d"))
+
+
+def clock(ts: str | Column) -> Column:
+    return F.date_format(_c(ts), "HH:mm")
+
+
+def byte_size(n: str | Column) -> Column:
+    n = _c(n)
+    part = lambda d, u: F.concat(F.format_number(n / d, "0.0"), F.lit(u))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, part(1 << 10, "K")).when(n < 1 << 30, part(1 << 20, "M")).otherwise(part(1 << 30, "G"))
+
+
+def freshness(as_of: Column, ts: str | Column) -> Column:
+    """Stage 0, 1 or 2 up to 20, 60 and 180 s of age, null beyond; the future is 0."""
+    s = seconds_between(as_of, _c(ts))
+    return F.when(s < 20, 0).when(s < 60, 1).when(s < 180, 2)
