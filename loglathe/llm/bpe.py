@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, read_table, utf8
+from loglathe.llm.common import chunks, read_table, small_batches, utf8
 
 #: Most entries of a worker's word cache and transition table; a full one is emptied.
 MOST_CACHED = 400_000
@@ -211,6 +211,7 @@ def shared(spark: SparkSession, path: str | None = None):
     """A function for tasks that gives the automaton, compiled once in each worker.  What is
     broadcast is the vocabulary, whose size is fixed."""
     path = path or default_path()
+    small_batches(spark)
     tables = spark.sparkContext.broadcast(load(path))
     return lambda: _compiled(path, tables)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sort key of rows without an id: after every other row.
 NULL_ID = 2**63 - 1
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +49,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` from here on, so a
+    task's memory doesn't grow with the texts; a smaller setting of the session stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key).lower())
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def utf8(column: str | Column) -> Column:
     """A text column as bytes, null as empty: Arrow then hands Python the bytes undecoded."""
     c = F.col(column) if isinstance(column, str) else column

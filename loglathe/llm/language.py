@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, crc_mod, read_table, utf8
+from loglathe.llm.common import chunks, crc_mod, read_table, small_batches, utf8
 
 FOLDS, HELD_OUT = 3, 1
 ORDER = 4
@@ -194,6 +194,7 @@ def sample_of(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Models | None:
+    small_batches(docs.sparkSession)
     sample = sample_of(docs).persist()
     try:
         rows = sample.mapInArrow(_count_words, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")).collect()  # a bounded sample's words

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, read_table, utf8
+from loglathe.llm.common import chunks, read_table, small_batches, utf8
 
 UNIT = 192  # samples of an MCU: three blocks of 64
 _STUFF, _RST, _EOI = 0xFF, 0xD0, 0xD9
@@ -338,6 +338,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's payload as a JPEG column."""
+    small_batches(docs.sparkSession)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     return df.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 

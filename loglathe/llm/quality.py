@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loglathe.llm.common import bounded_broadcast, read_table, stored, utf8, window_hashes
+from loglathe.llm.common import bounded_broadcast, read_table, small_batches, stored, utf8, window_hashes
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -113,6 +113,7 @@ def judged_measures(m: str) -> dict[str, Column]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """Id, language, source and measures of each row, without its text."""
+    small_batches(docs.sparkSession)
     df = docs.select("doc_id", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), measures_of(utf8("text")).alias("m"))
     return df.select("doc_id", "g_lang", "g_source", *[f"m.{c}" for c in _NAMES], *[c.alias(k) for k, c in judged_measures("m").items()])
 

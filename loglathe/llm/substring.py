@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglathe.llm.common import NULL_ID, chunks, doc_key, partitions, read_table, utf8, window_hashes, word_hashes
+from loglathe.llm.common import NULL_ID, chunks, doc_key, partitions, read_table, small_batches, utf8, window_hashes, word_hashes
 
 WINDOW, GRAM = 20, 8
 _REACH = WINDOW - GRAM + 1  # anchors to choose from in a window
 HOT = 4096
-SHARD = 20_000
+SHARD = 8_000
 #: Anchors that a task gathers before it hands them on.
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,6 +313,7 @@ def found_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents by ``kd``, and ``found``: for each ``kd`` the removed windows' starts (null:
     the whole text is a copy)."""
     n = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     base, copies = _base(docs), _copies(docs)
     by_kd = lambda right: base.join(right.hint("shuffle_hash"), "kd", "left")
     flagged = by_kd(copies.groupBy("kd").agg(F.count("*").alias("copies")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, crc_mod, read_table, utf8
+from loglathe.llm.common import chunks, crc_mod, read_table, small_batches, utf8
 
 FOLDS = 5
 SAMPLE = 20_000
@@ -167,6 +167,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     sample = sample_of(docs, labels).persist()
     try:
         voters = mine(sample)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm.bpe import byte_letters, default_path, load
-from loglathe.llm.common import chunks, read_table, utf8
+from loglathe.llm.common import chunks, read_table, small_batches, utf8
 
 MOST_CACHED = 400_000
 _END = 256  # added to the last byte of a word
@@ -105,6 +105,7 @@ def _compiled(key: str, broadcast: object) -> tuple[LongestMatch, dict[bytes, in
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, longest_word) of each row."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
