@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loglathe.llm.common import chunks, read_table, small_batches, utf8
 
 #: Most entries of a worker's word cache and transition table; a full one is emptied.
-MOST_CACHED = 400_000
+MOST_CACHED = 120_000
 _NEVER = 1 << 60
 
 

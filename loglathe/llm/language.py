@@ -35,7 +35,7 @@ ORDER = 4
 PER_LANGUAGE = 400
 SHARPNESS = 0.5
 QUANTILE, REJECT = 99.5, 1.1
-MOST_CACHED = 300_000
+MOST_CACHED = 120_000
 UND = "und"
 
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))

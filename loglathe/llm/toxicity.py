@@ -34,7 +34,7 @@ SAMPLE = 20_000
 MOST_VOTERS, MOST_CANDIDATES = 500, 50_000
 LEAST, PRECISION, TIED = 5, 0.6, 0.8
 STEMS = (4, 5, 6, 7, 8)
-MOST_CACHED = 400_000
+MOST_CACHED = 120_000
 
 _SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loglathe.llm.bpe import byte_letters, default_path, load
 from loglathe.llm.common import chunks, read_table, small_batches, utf8
 
-MOST_CACHED = 400_000
+MOST_CACHED = 120_000
 _END = 256  # added to the last byte of a word
 
 
