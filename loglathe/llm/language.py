@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, crc_mod, read_table, small_batches, utf8
+from loglathe.llm.common import bounded_broadcast, chunks, crc_mod, read_table, small_batches, utf8
 
 FOLDS, HELD_OUT = 3, 1
 ORDER = 4
@@ -190,6 +190,7 @@ def sample_of(docs: DataFrame) -> DataFrame:
     """(lang, text) of about PER_LANGUAGE training documents of each language."""
     own = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
     share = own.groupBy("lang").agg((F.lit(PER_LANGUAGE * 1_000_000) / F.count("*")).alias("share"))
+    share = bounded_broadcast(share, 10_000)
     return own.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", utf8("text").alias("text"))
 
 
