@@ -5,10 +5,10 @@ with any ending).  They are mined from the labelled rows of the training folds,
 ``SAMPLE`` enter (those with the least hash of their id): a voter must stand in ``LEAST`` toxic ones
 and its precision's lower bound must pass ``PRECISION``.
 
-A generative label model then looks at the votes alone: voters whose votes coincide (correlation
-above ``TIED``) are merged into one source, and expectation maximisation estimates the toxic rate
-and each source's rate of firing in toxic and in other texts, which are its accuracy.  Its posteriors
-label the sample, and a logistic regression on the sources is trained on them.  Every text is scored
+A generative label model then explains the votes: a voter that stands with a more frequent one in
+``TIED`` of its texts is merged into that one's source, and expectation maximisation estimates each
+source's rate of firing in toxic and in other texts, which are its accuracy; its counts among the
+labels are the prior.  The posteriors label the sample, and a logistic regression on the sources is trained on them.  Every text is scored
 whole, by the distinct words in it.
 
 Inputs of a score are words only.  Nulls: a null or empty text gets the score of no votes; labels
@@ -32,7 +32,7 @@ from loglathe.llm.common import chunks, crc_mod, read_table, small_batches, utf8
 FOLDS = 5
 SAMPLE = 20_000
 MOST_VOTERS, MOST_CANDIDATES = 500, 50_000
-LEAST, PRECISION, TIED = 5, 0.6, 0.8
+LEAST, PRECISION, TIED = 5, 0.6, 0.9
 STEMS = (4, 5, 6, 7, 8)
 MOST_CACHED = 120_000
 
@@ -118,34 +118,34 @@ class Model:
 
 
 def merge_tied(votes: np.ndarray) -> np.ndarray:
-    """A source for each voter: voters with correlated votes share one."""
+    """A source for each voter: one that hardly votes without another, more frequent one depends on
+    it and shares its source."""
     n, v = votes.shape
-    if not v:
-        return np.empty(0, np.int64)
-    x = votes - votes.mean(0)
-    norm = np.sqrt((x**2).sum(0))
-    tied = (x.T @ x) / np.maximum(np.outer(norm, norm), 1e-9) > TIED
+    count = votes.sum(0)
+    both = votes.T @ votes
     source = np.full(v, -1)
-    count = 0
-    for i in range(v):
-        if source[i] < 0:
-            source[(source < 0) & tied[i]] = count
-            source[i] = count
-            count += 1
+    found = 0
+    for i in np.argsort(-count, kind="stable"):
+        heads = [j for j in range(v) if source[j] >= 0 and both[i, j] >= TIED * count[i]]
+        if heads:
+            source[i] = source[max(heads, key=lambda j: both[i, j])]
+        else:
+            source[i], found = found, found + 1
     return source
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for each row of source votes (0/1), by expectation maximisation."""
-    p, hit, false = prior, np.full(votes.shape[1], 0.3), np.maximum(votes.mean(0) * 0.05, 1e-4)
-    post = np.full(len(votes), prior)
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+    """Posterior of toxic for each row of source votes (0/1), by expectation maximisation.  The rates
+    among the labels are prior counts: where each text holds one of many words, votes alone would
+    single out one word."""
+    hits, misses, toxic = labels @ votes, (1 - labels) @ votes, labels.sum()
+    post = labels * 0.9 + prior * 0.1
     for _ in range(rounds):
-        logit = np.log(p / (1 - p)) + votes @ np.log(hit / false) + (1 - votes) @ np.log((1 - hit) / (1 - false))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         total = post.sum()
-        p = float(np.clip(total / len(post), 1e-4, 0.5))
-        hit = np.clip((post @ votes + 0.1) / (total + 1), 1e-3, 0.99)
-        false = np.clip(((1 - post) @ votes + 0.01) / (len(post) - total + 1), 1e-5, 0.5)
+        hit = np.clip((post @ votes + hits + 0.1) / (total + toxic + 1), 1e-4, 0.99)
+        false = np.clip(((1 - post) @ votes + misses + 0.01) / (2 * len(post) - total - toxic + 1), 1e-6, 0.5)
+        logit = np.log(prior / (1 - prior)) + votes @ np.log(hit / false) + (1 - votes) @ np.log((1 - hit) / (1 - false))
+        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 
 
@@ -191,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     merged = np.zeros((len(rows), source.max() + 1))
     for j, s in enumerate(source):
         merged[:, s] = np.maximum(merged[:, s], votes[:, j])
-    prior = float(np.clip(np.mean([r.toxic for r in rows]), 1e-3, 0.5))
-    post = label_model(merged, prior)
+    marked = np.array([r.toxic for r in rows], float)
+    post = label_model(merged, marked, float(np.clip(marked.mean(), 1e-3, 0.5)))
     weights, bias = logistic(merged, post)
     return Model({f: int(s) for f, s in zip(voters, source, strict=True)}, weights, bias)
 
