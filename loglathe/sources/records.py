@@ -21,7 +21,7 @@ from loglathe.functions.tools import string_at, tool_body
 COLUMNS = ["file", "pos", "sub", "uid", "ts", "ts_missing", "kind", "tool", "raw", "call_id", "is_call", "is_error", "tokens"]
 
 #: Openings of wrapper texts that only look like the user's.
-INJECTED = ("<environment_context>", "<user_instructions>", "<permissions", "# AGENTS.md")
+INJECTED = ("<environment_context>", "<user_instructions>", "<skills_instructions>")
 
 
 class Source(Protocol):
@@ -121,7 +121,10 @@ def normalise_blocks(lines: DataFrame) -> DataFrame:
 
 
 def injected(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.ltrim(text).startswith(x) for x in INJECTED])
+    """Whether a text is the harness's description of the surroundings: it opens with a known tag, or
+    with any tag and names a context."""
+    text = F.ltrim(text)
+    return reduce(lambda a, b: a | b, [text.startswith(x) for x in INJECTED]) | (text.startswith("<") & F.contains(text, F.lit("_context>")))
 
 
 def normalise_rollout(lines: DataFrame) -> DataFrame:
