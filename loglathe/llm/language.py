@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import bounded_broadcast, chunks, crc_mod, read_table, small_batches, utf8
+from loglathe.llm.common import bounded_broadcast, chunks, crc_mod, freed, read_table, small_batches, utf8
 
 FOLDS, HELD_OUT = 3, 1
 ORDER = 4
@@ -198,7 +198,7 @@ def train(docs: DataFrame) -> Models | None:
     small_batches(docs.sparkSession)
     sample = sample_of(docs).persist()
     try:
-        rows = sample.mapInArrow(_count_words, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")).collect()  # a bounded sample's words
+        rows = sample.mapInArrow(freed(_count_words), "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")).collect()  # a bounded sample's words
         counts: dict[str, Counter] = defaultdict(Counter)
         for r in rows:
             counts[r.lang][bytes(r.word)] = r.c
@@ -215,7 +215,7 @@ def train(docs: DataFrame) -> Models | None:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "e"])
 
-        limits = sample.mapInArrow(run, "lang string, e double").groupBy("lang").agg(F.percentile("e", QUANTILE / 100).alias("q")).collect()
+        limits = sample.mapInArrow(freed(run), "lang string, e double").groupBy("lang").agg(F.percentile("e", QUANTILE / 100).alias("q")).collect()
         for r in limits:
             models.limits[models.languages.index(r.lang)] = REJECT * r.q
         return models
@@ -244,7 +244,7 @@ def identified(docs: DataFrame, models: Models | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     held_out = crc_mod("doc_id", FOLDS) == HELD_OUT
-    return docs.select("doc_id", held_out.alias("held_out"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", held_out.alias("held_out"), utf8("text").alias("text")).mapInArrow(freed(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

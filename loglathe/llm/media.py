@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, read_table, small_batches, utf8
+from loglathe.llm.common import chunks, freed, read_table, small_batches, utf8
 
 UNIT = 192  # samples of an MCU: three blocks of 64
 _STUFF, _RST, _EOI = 0xFF, 0xD0, 0xD9
@@ -340,7 +340,7 @@ def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's payload as a JPEG column."""
     small_batches(docs.sparkSession)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return df.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return df.mapInArrow(freed(_encode), "doc_id long, n_bytes long, media binary")
 
 
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail binary"
@@ -362,7 +362,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def describe(media: DataFrame) -> DataFrame:
     """Dimensions, DC-only thumbnail, its hashes and the payload's digests, from (doc_id, n_bytes,
     media)."""
-    return media.mapInArrow(_read, _READ)
+    return media.mapInArrow(freed(_read), _READ)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglathe.llm.common import NULL_ID, chunks, doc_key, partitions, read_table, small_batches, utf8, window_hashes, word_hashes
+from loglathe.llm.common import NULL_ID, chunks, doc_key, freed, partitions, read_table, small_batches, utf8, window_hashes, word_hashes
 
 WINDOW, GRAM = 20, 8
 _REACH = WINDOW - GRAM + 1  # anchors to choose from in a window
@@ -317,10 +317,10 @@ def found_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base, copies = _base(docs), _copies(docs)
     by_kd = lambda right: base.join(right.hint("shuffle_hash"), "kd", "left")
     flagged = by_kd(copies.groupBy("kd").agg(F.count("*").alias("copies")))
-    recurring = flagged.mapInArrow(_find_anchors(n), _BLOCK).repartitionById(n, "bucket").mapInArrow(_recurring, "kd long, starts binary, shapes binary, salts binary")
+    recurring = flagged.mapInArrow(freed(_find_anchors(n)), _BLOCK).repartitionById(n, "bucket").mapInArrow(freed(_recurring), "kd long, starts binary, shapes binary, salts binary")
     places = recurring.groupBy("kd").agg(F.collect_list(F.struct("starts", "shapes", "salts")).alias("found"))
-    searched = by_kd(places).mapInArrow(_send_texts(n), _TEXTS).repartitionById(n, "shard").mapInArrow(_search_shard, _FOUND)
-    resolved = searched.repartitionById(n, F.pmod(F.col("route"), F.lit(n)).cast("int")).mapInArrow(_resolve, "k1 long, k2 long, starts binary")
+    searched = by_kd(places).mapInArrow(freed(_send_texts(n)), _TEXTS).repartitionById(n, "shard").mapInArrow(freed(_search_shard), _FOUND)
+    resolved = searched.repartitionById(n, F.pmod(F.col("route"), F.lit(n)).cast("int")).mapInArrow(freed(_resolve), "k1 long, k2 long, starts binary")
     rows = resolved.select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", "starts").unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     found = rows.groupBy("kd").agg(F.collect_list(F.struct("k1", "k2", "starts")).alias("found"))
     return base, by_kd(found)
@@ -341,7 +341,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept = [None if null else (rest if removed else text).decode() for text, null, (_, removed, rest) in zip(texts, empty, _kept(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "new_text"])
 
-    out = judged.mapInArrow(run, schema)
+    out = judged.mapInArrow(freed(run), schema)
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
@@ -361,4 +361,4 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, judged = found_windows(docs)
-    return judged.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return judged.mapInArrow(freed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

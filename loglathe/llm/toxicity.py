@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, crc_mod, read_table, small_batches, utf8
+from loglathe.llm.common import chunks, crc_mod, freed, read_table, small_batches, utf8
 
 FOLDS = 5
 SAMPLE = 20_000
@@ -76,11 +76,11 @@ def _count(only: object = None):
 def mine(sample: DataFrame) -> list[bytes]:
     """The voters: features that toxic rows have and others hardly."""
     spark = sample.sparkSession
-    toxic = sample.where(F.col("toxic") == 1).mapInArrow(_count(), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
+    toxic = sample.where(F.col("toxic") == 1).mapInArrow(freed(_count()), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
     top = toxic.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "f").limit(MOST_CANDIDATES).collect()
     hits = {bytes(r.f): r.c for r in top}
     only = spark.sparkContext.broadcast(set(hits))
-    other = sample.where(F.col("toxic") == 0).mapInArrow(_count(only), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
+    other = sample.where(F.col("toxic") == 0).mapInArrow(freed(_count(only)), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
     misses = {bytes(r.f): r.c for r in other.collect()}  # no more rows than candidates
     n_toxic, n_other = (sample.where(F.col("toxic") == t).count() for t in (1, 0))
     chosen = []
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 rows = [sorted(ids[f] for f in _features(t) if f in ids) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("toxic")], ["v", "toxic"])
 
-        rows = sample.mapInArrow(run, "v array<int>, toxic int").collect()  # SAMPLE rows of voter numbers
+        rows = sample.mapInArrow(freed(run), "v array<int>, toxic int").collect()  # SAMPLE rows of voter numbers
     finally:
         sample.unpersist()
     votes = np.zeros((len(rows), len(voters)))
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted], ["doc_id", "held_out", "score", "predicted"])
 
     held_out = crc_mod("doc_id", FOLDS) == 0
-    return docs.select("doc_id", held_out.alias("held_out"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out.alias("held_out"), utf8("text").alias("text")).mapInArrow(freed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
