@@ -25,14 +25,13 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, read_table, small_batches, utf8
+from loglathe.llm.common import chunks, freed, read_table, small_batches, utf8
 
 #: Most entries of a worker's word cache and transition table; a full one is emptied.
 MOST_CACHED = 120_000
@@ -202,9 +201,20 @@ def load(path: str) -> tuple[list[str], list[tuple[str, str]], str, dict[str, in
     return tokens, [tuple(m) for m in parsed["model"]["merges"]], parsed["model"]["end_of_word_suffix"] or "", special
 
 
-@lru_cache(maxsize=2)
+def digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+_held: dict[str, Automaton] = {}
+
+
 def _compiled(key: str, broadcast: object) -> Automaton:
-    return Automaton(*broadcast.value)
+    """The worker's one automaton, under its file's digest: later queries with that file use it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Automaton(*broadcast.value)
+    return _held[key]
 
 
 def shared(spark: SparkSession, path: str | None = None):
@@ -212,8 +222,8 @@ def shared(spark: SparkSession, path: str | None = None):
     broadcast is the vocabulary, whose size is fixed."""
     path = path or default_path()
     small_batches(spark)
-    tables = spark.sparkContext.broadcast(load(path))
-    return lambda: _compiled(path, tables)
+    key, tables = digest(path), spark.sparkContext.broadcast(load(path))
+    return lambda: _compiled(key, tables)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -228,7 +238,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return df.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return df.mapInArrow(freed(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -249,7 +259,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return df.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

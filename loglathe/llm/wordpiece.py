@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.bpe import byte_letters, default_path, load
-from loglathe.llm.common import chunks, read_table, small_batches, utf8
+from loglathe.llm.bpe import byte_letters, default_path, digest, load
+from loglathe.llm.common import chunks, freed, read_table, small_batches, utf8
 
 MOST_CACHED = 120_000
 _END = 256  # added to the last byte of a word
@@ -96,20 +95,26 @@ class LongestMatch:
         return self.count(symbols)
 
 
-@lru_cache(maxsize=2)
+_held: dict[str, tuple[LongestMatch, dict[bytes, int]]] = {}
+
+
 def _compiled(key: str, broadcast: object) -> tuple[LongestMatch, dict[bytes, int]]:
-    tokens, _, suffix, special = broadcast.value
-    return LongestMatch(vocabulary(tokens, suffix, special)), {}
+    """The worker's one automaton and its word cache, under its file's digest."""
+    if key not in _held:
+        _held.clear()
+        tokens, _, suffix, special = broadcast.value
+        _held[key] = LongestMatch(vocabulary(tokens, suffix, special)), {}
+    return _held[key]
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, longest_word) of each row."""
     path = path or default_path()
     small_batches(docs.sparkSession)
-    tables = docs.sparkSession.sparkContext.broadcast(load(path))
+    key, tables = digest(path), docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = _compiled(path, tables)
+        automaton, cache = _compiled(key, tables)
         for batch in chunks(batches):
             rows = []
             for text in batch.column("text").to_pylist():
@@ -126,7 +131,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_tokens", "most_in_word"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return df.mapInArrow(run, "doc_id long, n_words long, n_tokens long, most_in_word long")
+    return df.mapInArrow(freed(run), "doc_id long, n_words long, n_tokens long, most_in_word long")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
