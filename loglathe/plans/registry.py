@@ -11,7 +11,7 @@ from loglathe.functions import text as t
 from loglathe.functions.identity import content_hash, is_complex
 from loglathe.functions.secrets import secret_type
 from loglathe.functions.tools import result_hint, shell_gist
-from loglathe.operators import analytics, archive, condense, feed, fold, markdown
+from loglathe.operators import analytics, archive, condense, feed, fold, markdown, sessions
 from loglathe.sources import records
 from loglathe.sources.views import as_of, conversation_events, customer_sessions, log_events, order_sessions, parts, table
 from loglathe.streaming import jobs
@@ -315,6 +315,45 @@ def conversations_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_sessions(spark, sf_dir).orderBy(F.desc(F.col("project") == 3), F.desc("id")).limit(30).select("id", "tag")
 
 
+# --- sessions
+
+
+@query("SELECT session, min(ts) AS first_ts, max(ts) AS last_ts FROM ev_log GROUP BY session")
+def session_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.span(log_events(spark, sf_dir))
+
+
+@query("SELECT id FROM ses_cust WHERE id % 3 > 0")
+def known_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.known(customer_sessions(spark, sf_dir).withColumn("seen", F.col("id") % 3)).select("id")
+
+
+@query("SELECT id, last_ts FROM ses_ord WHERE starts_with(CAST(id AS VARCHAR), '12') ORDER BY last_ts DESC, id LIMIT 1")
+def by_id_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.by_prefix(order_sessions(spark, sf_dir), "12", [F.desc("last_ts"), F.col("id")]).select("id", "last_ts")
+
+
+@query("SELECT id, tag FROM ses_cust ORDER BY coalesce(tag = 'MACHINERY', false) DESC, id DESC LIMIT 1")
+def pick_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.default(customer_sessions(spark, sf_dir), F.col("tag") == "MACHINERY", [F.desc("id")]).select("id", "tag")
+
+
+@query("SELECT id, count(*) OVER (PARTITION BY project) - 1 AS peers, CAST(sum(CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY project) - CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS live_peers FROM ses_cust")
+def peers_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.peers(customer_sessions(spark, sf_dir), F.col("id") % 7 == 0)
+
+
+@query("SELECT session, uid, last_value(CASE WHEN kind = 'prompt' THEN uid END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS announced FROM ev_log")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sessions.carried(log_events(spark, sf_dir), "session", F.when(F.col("kind") == "prompt", F.col("uid")), "announced", _TIME)
+    return out.select("session", "uid", "announced")
+
+
+@query(", r AS (SELECT *, sum(CASE WHEN kind = 'prompt' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, uid ROWS UNBOUNDED PRECEDING) AS run FROM ev_log), f AS (SELECT session, run, arg_max(uid, (ts, uid)) AS fused FROM r WHERE kind = 'say' GROUP BY session, run), j AS (SELECT r.*, fused FROM r LEFT JOIN f USING (session, run)) SELECT session, uid, CASE WHEN kind = 'say' THEN fused ELSE first_value(CASE WHEN kind IN ('prompt', 'fail') OR uid = fused THEN uid END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, uid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS row FROM j")
+def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.shown_at(log_events(spark, sf_dir), ["prompt", "fail"], _TIME).select("session", "uid", "row")
+
+
 # --- archive
 
 
