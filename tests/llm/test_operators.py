@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loglathe.llm import bpe, chat, jaccard, language, media, mixing, quality, substring, toxicity, wordpiece
+from loglathe.llm import bpe, chat, components, jaccard, language, media, mixing, quality, substring, toxicity, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kd string, n_words int"
 
@@ -134,6 +134,26 @@ def test_jaccard_against_brute_force(docs, rows, empty):
     assert jaccard.classes(empty).count() == 0
 
 
+def test_components_and_later_edges(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    table = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    got = components.joined(components.components(table(edges[:150])), table(edges[150:])).collect()
+    assert len(got) == len(root) and {x.u: x.label for x in got} == {x: find(x) for x in root}
+    assert components.components(table([])).count() == 0
+
+
 def test_bpe_against_the_library(docs, rows, empty):
     from tokenizers import Tokenizer
 
