@@ -20,6 +20,11 @@ formed from the links.  Then the lists are read once more, expanded to members,
 yet in one component is verified.  So no link between components is lost, and pairs inside a large
 group of near copies are not enumerated.
 
+``op5_ngram_jaccard_join`` then counts every link of a document: other documents of a set equal to
+its own, and those of each set that links with it.  All links lie inside components, so the
+distinct sets of a component are compared each with each: a large component is dealt by size class
+and hash into blocks, and each two blocks that can hold a link meet in one task.
+
 Copies of a whole text are joined beforehand and share their class.  Nulls: a null text is empty
 and linked with nothing; a null id comes after all others and is the class id only of rows that
 have no other.  Rows with the same id and text are one document given several times.  An empty
@@ -34,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglathe.llm.common import NULL_ID, bounded_broadcast, chunks, doc_key, freed, partitions, read_table, small_batches, stored, window_hashes, word_hashes
@@ -370,9 +375,8 @@ def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(F.col("kd").alias("node"), F.coalesce("label", "kd").alias("label"), "n", "tokens")
 
 
-def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between documents of ``sets`` that hold tokens, enough of them for the
-    components; and (kd, label) of the components."""
+def links(sets: DataFrame) -> DataFrame:
+    """(kd, label) of the components of linked documents of ``sets`` that hold tokens."""
     spark = sets.sparkSession
     live = stored(sets.where(F.col("tokens").isNotNull()), "live")
     levels = spark.sparkContext.broadcast(rarity(live))
@@ -391,7 +395,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         best = stored(best, "tried")
         new = stored(verified(best, live), "links")
-        tried, one = tried.unionByName(best), one.unionByName(new)
+        tried = tried.unionByName(best)
         found = new.count()
         labels = joined(labels, _edges(new)) if found else labels
         if found <= least:
@@ -399,32 +403,175 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = _labelled(live, labels).mapInArrow(freed(Postings(n, levels)), _POSTING).repartitionById(n, "bucket")
     two = stored(verified(stored(lists.mapInArrow(freed(_across), "a long, b long").distinct(), "across"), live), "links")
     labels = joined(labels, _edges(two)) if two.limit(1).count() else labels
-    return one.unionByName(two), labels.select(F.col("u").alias("kd"), "label")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, kd, n_shingles, component_id, component_kd, n_verified_links) of each row: component_kd is the key of
-    the class's first document, n_verified_links the links of the text that were verified to form the class."""
+    return labels.select(F.col("u").alias("kd"), "label")
+
+
+# --- 4. numbers of links
+
+
+#: Distinct sets in a block and shingles of all of these, about; a component with no more is one block.
+BLOCK_SETS, BLOCK_SHINGLES = 500, 1_000_000
+#: Cells of a dense matrix of sets and shingles.
+_DENSE = 4_000_000
+
+
+def _class_starts() -> np.ndarray:
+    """Least size of each size class: linked sets are in one class or in neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(100 * starts[-1] // PERCENT + 1)
+    return np.array(starts, np.int64)
+
+
+def _set_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    starts = _class_starts()
+    for batch in chunks(batches, "tokens"):
+        ids = [xxhash.xxh128_digest(t) for t in batch.column("tokens").to_pylist()]
+        size = np.searchsorted(starts, np.asarray(batch.column("n")), "right").astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("kd"), batch.column("label"), batch.column("n"), pa.array(size), pa.array(ids, pa.binary())], ["kd", "label", "n", "size", "sid"])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    cell = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+    times = np.bincount(cell)
+    often = times > max(8, m // 16)
+    both, low = np.zeros((m, m)), np.zeros((m, m))
+    place = np.cumsum(often) - 1
+    own = often[cell]
+    r, c = row[own], place[cell[own]]
+    width = _DENSE // m + 1
+    for i in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(c, [i, i + width])
+        x = np.zeros((m, width), np.float32)
+        x[r[lo:hi], c[lo:hi] - i] = 1
+        both += x @ x.T
+    own = ~own & (times[cell] > 1)
+    r, c = row[own], cell[own]
+    for d in range(1, max(8, m // 16)):
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        np.add.at(low.ravel(), (r[:-d] * m + r[d:])[same], 1)
+    return both + low + low.T
+
+
+def _linked_docs(rows: list[tuple]) -> np.ndarray:
+    """For each (kd, docs, side, tokens) of two blocks the documents of sets of the other block (of a
+    single block: other sets of it) that link."""
+    sets = [np.frombuffer(t, np.uint64) for *_, t in rows]
+    docs, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    n = np.array([len(s) for s in sets])
+    both = overlaps(sets)
+    linked = 100 * both >= PERCENT * (n[:, None] + n - both)
+    if (side < 0).all():
+        np.fill_diagonal(linked, False)
+    else:
+        linked &= side[:, None] != side
+    return linked @ docs
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kd, linked) of rows that are sorted by their pair of blocks."""
+
+    def flush() -> None:
+        if len(held) > 1:
+            kds.extend(r[0] for r in held)
+            found.append(_linked_docs(held))
+
+    key, held, kds, found = None, [], [], []
+    for batch in batches:
+        for *now, kd, docs, side, tokens in zip(*[batch.column(c).to_pylist() for c in ("label", "low", "p", "q", "kd", "docs", "side", "tokens")], strict=True):
+            if now != key:
+                flush()
+                key, held = now, []
+            held.append((kd, docs, side, tokens))
+        if kds:
+            yield pa.RecordBatch.from_arrays([pa.array(kds, pa.int64()), pa.array(np.concatenate(found))], ["kd", "linked"])
+            kds, found = [], []
+    flush()
+    if kds:
+        yield pa.RecordBatch.from_arrays([pa.array(kds, pa.int64()), pa.array(np.concatenate(found))], ["kd", "linked"])
+
+
+#: The pairs of blocks in which a set of block b meets others; side -1: those of its own block.
+#: Within a size class p <= q, across classes q is negative: -1 - block of the larger class.
+_MEETS = """CASE WHEN blocks IS NULL THEN array(named_struct('low', -1, 'p', 0, 'q', 0, 'side', -1)) ELSE concat(
+transform(sequence(0, blocks - 1), x -> named_struct('low', size, 'p', least(b, x), 'q', greatest(b, x), 'side', CASE WHEN b = x THEN -1 WHEN b < x THEN 0 ELSE 1 END)),
+transform(filter(sequence(0, above), x -> x < above), x -> named_struct('low', size, 'p', b, 'q', -1 - x, 'side', 0)),
+transform(filter(sequence(0, below), x -> x < below), x -> named_struct('low', size - 1, 'p', x, 'q', -1 - b, 'side', 1))) END"""
+
+
+def numbers_of_links(sets: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
+    """(kd, n_links) of each text with a label: the other documents that link with a document of it.
+    ``held`` has the number of documents (kd, docs) of each text."""
+    n = partitions(sets.sparkSession)
+    live = sets.where(F.col("tokens").isNotNull()).select("kd", "n", "tokens")
+    ids = live.join(labels, "kd").mapInArrow(freed(_set_ids), "kd long, label long, n long, size int, sid binary")
+    ids = stored(ids.join(held, "kd"), "ids")
+    alike = ids.groupBy("label", "sid", "n", "size").agg(F.min("kd").alias("head"), F.sum("docs").alias("docs"))
+    alike = stored(alike, "alike")
+    sizes = alike.groupBy("label", "size").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    own, near = Window.partitionBy("label"), Window.partitionBy("label").orderBy("size")
+    large = (F.sum("m").over(own) > BLOCK_SETS) | (F.sum("t").over(own) > BLOCK_SHINGLES)
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_SHINGLES)).cast("int")
+    large = sizes.select("label", "size", blocks.alias("blocks"), large.alias("large")).where("large")
+    at = lambda i: F.coalesce(F.sum("blocks").over(near.rangeBetween(i, i)), F.lit(0)).cast("int")
+    large = stored(large.select("label", "size", "blocks", at(1).alias("above"), at(-1).alias("below")), "large")
+    dealt = alike.join(bounded_broadcast(large, 1_000_000), ["label", "size"], "left").withColumn("b", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
+    dealt = dealt.select(F.col("head").alias("kd"), "label", "docs", F.expr(_MEETS).alias("meets"))
+    dealt = live.select("kd", "tokens").join(dealt, "kd").select("kd", "label", "docs", F.explode("meets").alias("m"), "tokens")
+    dealt = dealt.select("label", "m.low", "m.p", "m.q", "kd", "docs", "m.side", "tokens")
+    pair = ["label", "low", "p", "q"]
+    met = dealt.repartition(n, *pair).sortWithinPartitions(*pair).mapInArrow(freed(_met), "kd long, linked long")
+    linked = met.groupBy(F.col("kd").alias("head")).agg(F.sum("linked").alias("linked"))
+    each = alike.join(linked, "head", "left").select("label", "sid", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return ids.select("kd", "label", "sid").join(each, ["label", "sid"]).select("kd", "n_links")
+
+
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``classes``, and ``rows``, ``sets`` and labels it is made of."""
     rows = stored(contents(docs), "contents")
     sets = sets_of(docs, rows)
-    found, labels = links(sets)
-    ends = found.select(F.col("a").alias("kd")).unionByName(found.select(F.col("b").alias("kd")))
-    degree = ends.groupBy("kd").agg(F.count("*").alias("n_verified_links"))
-    nodes = sets.select("kd", "k1", "k2", "n").join(labels, "kd", "left").join(degree, "kd", "left")
-    nodes = stored(nodes.select("kd", "k1", "k2", "n", F.coalesce("label", "kd").alias("label"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links")), "nodes")
+    labels = links(sets)
+    nodes = sets.select("kd", "k1", "k2", "n").join(labels, "kd", "left")
+    nodes = stored(nodes.select("kd", "k1", "k2", "n", F.coalesce("label", "kd").alias("label")), "nodes")
     least = nodes.groupBy("label").agg(F.min(F.struct("k1", "k2", "kd")).alias("first"))
-    nodes = nodes.join(least, "label").select(F.col("kd").alias("rep"), "n", "n_verified_links", F.col("first.k1").alias("c1"), F.col("first.kd").alias("ckd"))
+    nodes = nodes.join(least, "label").select(F.col("kd").alias("rep"), "n", F.col("first.k1").alias("c1"), F.col("first.kd").alias("ckd"))
     reps = rows.groupBy("content").agg(F.min(F.struct("k1", "k2", "kd")).alias("x")).select("content", F.col("x.kd").alias("rep"))
     reps = stored(reps.join(nodes, "rep"), "reps")
     out = rows.join(reps, "content")
     empty = F.col("n") == 0
     least_id = F.when(F.col("c1") != NULL_ID, F.col("c1"))
-    return out.select("doc_id", "kd", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(least_id).alias("component_id"), F.when(empty, F.col("kd")).otherwise(F.col("ckd")).alias("component_kd"), "n_verified_links")
+    out = out.select("doc_id", "kd", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(least_id).alias("component_id"), F.when(empty, F.col("kd")).otherwise(F.col("ckd")).alias("component_kd"), "rep")
+    return out, rows, sets, labels
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, kd, n_shingles, component_id, component_kd) of each row: component_kd is the key of
+    the class's first document."""
+    return _classed(docs)[0].drop("rep")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``classes`` with n_links: the other documents that link with the row's document."""
+    out, rows, sets, labels = _classed(docs)
+    held = rows.groupBy("content").agg(F.min(F.struct("k1", "k2", "kd")).alias("x"), F.count_distinct("kd").alias("docs"))
+    held = stored(held.select(F.col("x.kd").alias("kd"), "docs"), "held")
+    found = held.join(numbers_of_links(sets, labels, held), "kd", "left")
+    found = stored(found.select(F.col("kd").alias("rep"), F.coalesce("n_links", F.col("docs") - 1).alias("n_links")).where("n_links > 0"), "found")
+    n_links = F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    return out.join(found, "rep", "left").drop("rep").withColumn("n_links", n_links)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classes(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", "n_verified_links")
+    out = counted(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
