@@ -3,7 +3,7 @@
 Voters are words (a lexicon) and beginnings of words of 4 to 8 bytes (patterns, which catch stems
 with any ending).  They are mined from the labelled rows of the training folds, of which at most
 ``SAMPLE`` enter (those with the least hash of their id): a voter must stand in ``LEAST`` toxic ones
-and its precision's lower bound must pass ``PRECISION``.
+and its precision's lower bound must pass ``PRECISION``.  Every feature that does is a voter.
 
 A generative label model then explains the votes: a voter that stands with a more frequent one in
 ``TIED`` of its texts is merged into that one's source, and expectation maximisation estimates each
@@ -31,10 +31,10 @@ from loglathe.llm.common import chunks, crc_mod, freed, read_table, small_batche
 
 FOLDS = 5
 SAMPLE = 20_000
-MOST_VOTERS, MOST_CANDIDATES = 500, 50_000
 LEAST, PRECISION, TIED = 5, 0.6, 0.9
 STEMS = (4, 5, 6, 7, 8)
 MOST_CACHED = 120_000
+_FLUSH = 200_000
 
 _SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -60,37 +60,39 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
-def _count(only: object = None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = _features(text)
-                counts.update(found if only is None else found & only.value)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["f", "c"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, hits, misses): toxic and other texts that hold a feature."""
+    counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        misses, hits = counts
+        found = list(misses | hits)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[pa.array([c[f] for f in found], pa.int64()) for c in (hits, misses)]], ["f", "hits", "misses"])
+        misses.clear()
+        hits.clear()
 
-    return run
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            if toxic in (0, 1):
+                counts[toxic].update(_features(text))
+            if len(counts[0]) + len(counts[1]) >= _FLUSH:
+                yield from flush()
+    yield from flush()
 
 
 def mine(sample: DataFrame) -> list[bytes]:
-    """The voters: features that toxic rows have and others hardly."""
-    spark = sample.sparkSession
-    toxic = sample.where(F.col("toxic") == 1).mapInArrow(freed(_count()), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
-    top = toxic.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "f").limit(MOST_CANDIDATES).collect()
-    hits = {bytes(r.f): r.c for r in top}
-    only = spark.sparkContext.broadcast(set(hits))
-    other = sample.where(F.col("toxic") == 0).mapInArrow(freed(_count(only)), "f binary, c long").groupBy("f").agg(F.sum("c").alias("c"))
-    misses = {bytes(r.f): r.c for r in other.collect()}  # no more rows than candidates
+    """The voters: all features that toxic rows have and others hardly.  Features are counted and
+    judged in Spark; only voters come to the driver."""
     n_toxic, n_other = (sample.where(F.col("toxic") == t).count() for t in (1, 0))
-    chosen = []
-    for f, c in hits.items():
-        n = c + misses.get(f, 0)
-        p = c / n
-        lower = (p + 2 / n - 2 * np.sqrt(p * (1 - p) / n + 1 / n**2)) / (1 + 4 / n)  # Wilson, z = 2
-        if lower >= PRECISION or (n_other and p * n_other > 20 * (1 - p) * n_toxic and c >= 4 * LEAST):
-            chosen.append((-c, f))
-    return [f for _, f in sorted(chosen)[:MOST_VOTERS]]
+    found = sample.mapInArrow(freed(_count), "f binary, hits long, misses long").groupBy("f").agg(F.sum("hits").alias("c"), F.sum("misses").alias("misses"))
+    found = found.where(F.col("c") >= LEAST).select("f", "c", (F.col("c") + F.col("misses")).cast("double").alias("n"))
+    n, p = F.col("n"), F.col("c") / F.col("n")
+    lower = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)  # Wilson, z = 2
+    keep = lower >= PRECISION
+    if n_other:
+        keep |= (p * n_other > 20 * (1 - p) * n_toxic) & (F.col("c") >= 4 * LEAST)
+    return [f for _, f in sorted((-r.c, bytes(r.f)) for r in found.where(keep).collect())]
 
 
 @dataclass(frozen=True)
@@ -117,39 +119,42 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def merge_tied(votes: np.ndarray) -> np.ndarray:
+def merge_tied(votes: np.ndarray, times: np.ndarray) -> np.ndarray:
     """A source for each voter: one that hardly votes without another, more frequent one depends on
-    it and shares its source."""
-    n, v = votes.shape
-    count = votes.sum(0)
-    both = votes.T @ votes
+    it and shares its source.  ``times`` tells how often each row of votes (0/1) occurs."""
+    v = votes.shape[1]
+    both = (votes * times[:, None]).T @ votes
+    count = both.diagonal()
     source = np.full(v, -1)
     found = 0
     for i in np.argsort(-count, kind="stable"):
-        heads = [j for j in range(v) if source[j] >= 0 and both[i, j] >= TIED * count[i]]
-        if heads:
-            source[i] = source[max(heads, key=lambda j: both[i, j])]
+        heads = np.flatnonzero((source >= 0) & (both[i] >= TIED * count[i]))
+        if len(heads):
+            source[i] = source[heads[both[i, heads].argmax()]]
         else:
             source[i], found = found, found + 1
     return source
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, labels: np.ndarray, times: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """Posterior of toxic for each row of source votes (0/1), by expectation maximisation.  The rates
     among the labels are prior counts: where each text holds one of many words, votes alone would
     single out one word."""
-    hits, misses, toxic = labels @ votes, (1 - labels) @ votes, labels.sum()
+    marked = labels * times
+    hits, misses, toxic = marked @ votes, (times - marked) @ votes, marked.sum()
     post = labels * 0.9 + prior * 0.1
     for _ in range(rounds):
-        total = post.sum()
-        hit = np.clip((post @ votes + hits + 0.1) / (total + toxic + 1), 1e-4, 0.99)
-        false = np.clip(((1 - post) @ votes + misses + 0.01) / (2 * len(post) - total - toxic + 1), 1e-6, 0.5)
-        logit = np.log(prior / (1 - prior)) + votes @ np.log(hit / false) + (1 - votes) @ np.log((1 - hit) / (1 - false))
+        weight = post * times
+        total = weight.sum()
+        hit = np.clip((weight @ votes + hits + 0.1) / (total + toxic + 1), 1e-4, 0.99)
+        false = np.clip(((times - weight) @ votes + misses + 0.01) / (2 * times.sum() - total - toxic + 1), 1e-6, 0.5)
+        on, off = np.log(hit / false), np.log((1 - hit) / (1 - false))
+        logit = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.2, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and bias fitted to soft labels by Newton steps; the bias is not shrunk."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -157,8 +162,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + shrink * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink)
+        gradient = x.T @ (times * (p - y)) + shrink * w
+        curve = (x * (times * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -181,24 +186,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 rows = [sorted(ids[f] for f in _features(t) if f in ids) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("toxic")], ["v", "toxic"])
 
-        rows = sample.mapInArrow(freed(run), "v array<int>, toxic int").collect()  # SAMPLE rows of voter numbers
+        rows = sample.mapInArrow(freed(run), "v array<int>, toxic int").groupBy("v", "toxic").agg(F.count("*").alias("times"))
+        rows = sorted((r.v, r.toxic, r.times) for r in rows.collect())  # SAMPLE rows of voter numbers at most
     finally:
         sample.unpersist()
-    votes = np.zeros((len(rows), len(voters)))
-    for i, r in enumerate(rows):
-        votes[i, r.v] = 1
-    source = merge_tied(votes)
+    times = np.array([t for *_, t in rows], float)
+    votes = np.zeros((len(rows), len(voters)), np.float32)
+    for i, (v, *_) in enumerate(rows):
+        votes[i, v] = 1
+    source = merge_tied(votes, times.astype(np.float32))
     merged = np.zeros((len(rows), source.max() + 1))
     for j, s in enumerate(source):
         merged[:, s] = np.maximum(merged[:, s], votes[:, j])
-    marked = np.array([r.toxic for r in rows], float)
-    post = label_model(merged, marked, float(np.clip(marked.mean(), 1e-3, 0.5)))
-    weights, bias = logistic(merged, post)
+    marked = np.array([t for _, t, _ in rows], float)
+    post = label_model(merged, marked, times, float(np.clip(marked @ times / times.sum(), 1e-3, 0.5)))
+    weights, bias = logistic(merged, post, times)
     return Model({f: int(s) for f, s in zip(voters, source, strict=True)}, weights, bias)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_VOTERS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each source
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
