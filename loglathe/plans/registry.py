@@ -229,6 +229,11 @@ def mark_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.mark_seen(_numbered(log_events(spark, sf_dir)).where(F.col("uid") % 3 == 0).select("session", F.col("seq").cast("long").alias("seen")))
 
 
+@query("SELECT session, max(seq) AS seen FROM ev_seq GROUP BY session")
+def mark_seen_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.mark_seen(_numbered(log_events(spark, sf_dir)).select("session", F.col("seq").cast("long").alias("seen")))
+
+
 @query(f", g AS (SELECT session, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(kind, (ts, uid)) FILTER (kind IN ('say', 'prompt')) AS last_speaker FROM ev_log GROUP BY session), q AS (SELECT *, CAST(floor(epoch({AS_OF})) AS BIGINT) - CAST(floor(epoch(last_ts)) AS BIGINT) AS quiet FROM g) SELECT session, first_ts, last_ts, last_speaker, CASE WHEN quiet < 120 THEN 'live' WHEN last_speaker = 'say' AND quiet < 86400 THEN 'waiting' ELSE 'idle' END AS state, coalesce(quiet <= 300 AND last_speaker = 'prompt', false) AS awaiting FROM q")
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.session_state(log_events(spark, sf_dir), as_of())
@@ -279,9 +284,18 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condense.pending(e.where(F.col("session") % 2 == 1), _gists(spark, sf_dir).limit(0)).select("hash", "kind")
 
 
+_LONG = f"length({_flat(r"""translate(regexp_replace(raw, '\]\([^)]*(\)|$)', '', 'g'), '`*_#>[]', '')""")}) > 96"
+_KEYED = r"""regexp_extract(raw, '(?i)(api[_-]?key|secret|token|passwd|password)[A-Za-z0-9_]*["'']?\s*[:=]\s*["'']?([A-Za-z0-9+/_-]{20,})', 2) AS v"""
+
+
+@query(_GISTS + f" SELECT DISTINCT {_HASH} AS hash, kind FROM (SELECT *, raw AS text, {_KEYED} FROM ev_conv) e WHERE {_LONG} AND {_SECRET_SQL} IS NULL AND NOT EXISTS (SELECT 1 FROM gists g WHERE g.hash = {_HASH})")
+def pending_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return condense.pending(conversation_events(spark, sf_dir), _gists(spark, sf_dir)).select("hash", "kind")
+
+
 @query()
 def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense.condense(condense.pending(conversation_events(spark, sf_dir), _gists(spark, sf_dir).limit(0)))
+    return condense.condense(condense.pending(conversation_events(spark, sf_dir), _gists(spark, sf_dir)))
 
 
 @query("SELECT 'events' AS name, count(*) AS rows FROM events UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'sessions', count(DISTINCT user_id) FROM events")
