@@ -108,7 +108,7 @@ def _compiled(key: str, broadcast: object) -> tuple[LongestMatch, dict[bytes, in
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_tokens, longest_word) of each row."""
+    """(doc_id, n_words, n_tokens, most_in_word) of each row; most_in_word: tokens of its longest word."""
     path = path or default_path()
     small_batches(docs.sparkSession)
     key, tables = digest(path), docs.sparkSession.sparkContext.broadcast(load(path))
