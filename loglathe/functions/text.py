@@ -10,17 +10,22 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Runs of the characters that Unicode calls white space; a list is faster than a property.
+_WHITE = "[\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+
+
 def flatten(text: str | Column) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_c(text), _WHITE, " "))
 
 
-def clip(text: str | Column, n: int) -> Column:
+def clip(text: str | Column, n: int | Column) -> Column:
     """At most ``n`` characters, cut at a space if one stands in the last third."""
-    text = _c(text)
-    head = F.substring(text, 1, n - 1)
-    before = F.regexp_extract(head, r"(?s)^(.*) ", 1)
-    at_space = F.contains(head, F.lit(" ")) & (F.octet_length(before) > 2 * n // 3)
+    text, n = _c(text), F.lit(n) if isinstance(n, int) else n
+    head = F.substring(text, F.lit(1), n - 1)
+    space = F.length(head) - F.instr(F.reverse(head), " ") + 1
+    before = F.substring(head, F.lit(1), space - 1)
+    at_space = F.contains(head, F.lit(" ")) & (F.octet_length(before) > F.floor(2 * n / 3))
     return F.when(F.length(text) <= n, text).when(at_space, F.concat(before, F.lit("…"))).otherwise(F.concat(head, F.lit("…")))
 
 
@@ -47,12 +52,14 @@ def base(path: str | Column) -> Column:
 
 
 def tilde(path: str | Column, home: str | Column) -> Column:
-    """The user's home directory as ``~``; ``home`` is a column, as rows come from many users."""
-    home = _c(home)
-    return F.when(F.coalesce(home, F.lit("")) == "", _c(path)).otherwise(F.replace(_c(path), home, F.lit("~")))
+    """A path below the user's home directory with ``~`` for it; ``home`` is a column, as rows come
+    from many users."""
+    path, home = _c(path), F.coalesce(_c(home), F.lit(""))
+    return F.when((home != "") & F.startswith(path, home), F.concat(F.lit("~"), F.substring(path, F.length(home) + 1, F.length(path)))).otherwise(path)
 
 
 def unslug(slug: str | Column) -> Column:
+    """A folder's name as the path it stands for, where nothing else tells it."""
     return F.replace(_c(slug), F.lit("-"), F.lit("/"))
 
 
@@ -138,36 +145,40 @@ def deflected(answer: str | Column) -> Column:
 
 
 def message_height(gist: str | Column) -> Column:
-    return F.lit(1) + F.size(note_lines(gist))
+    """Lines that a message takes: its headline, and each note with something in it."""
+    return F.lit(1) + F.size(F.filter(note_lines(gist), lambda n: n.text != ""))
 
 
 def short_model(name: str | Column) -> Column:
-    """A model's name without vendor and date."""
-    tail = F.element_at(F.split(_c(name), "/"), -1)
-    return F.regexp_replace(F.regexp_replace(tail, r"^[a-z]+-(?=[a-z]+-[0-9])", ""), r"-\d{8}$", "")
+    """A model's name without provider, vendor and date."""
+    tail = F.regexp_replace(F.element_at(F.split(_c(name), "/"), -1), "^claude-", "")
+    return F.regexp_replace(tail, r"-\d{8}$", "")
 
 
 def tag(branch: str | Column, title: str | Column, session: str | Column) -> Column:
     """Branch, else the title's last part, else the id's first six characters."""
-    full = lambda x: F.when(x != "", x)
-    return F.coalesce(full(_c(branch)), full(base(title)), F.substring(_c(session), 1, 6))
+    last = F.element_at(F.split(_c(title), "/"), -1)
+    return F.coalesce(_c(branch), F.when(last != "", last), F.substring(_c(session).cast("string"), 1, 6))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     return F.unix_timestamp(later) - F.unix_timestamp(earlier)
 
 
+def _age(as_of: Column, ts: Column, names: tuple[str, str, str, str], now: int, hours: int) -> Column:
+    s = F.greatest(seconds_between(as_of, ts), F.lit(0))
+    n = lambda d, half, unit: F.concat(F.floor((s + half) / d).cast("string"), F.lit(unit))
+    return F.when(s <= now, names[0]).when(s <= 5400, n(60, 30, names[1])).when(s <= hours, n(3600, 1800, names[2])).otherwise(n(86400, 0, names[3]))
+
+
 def ago(as_of: Column, ts: str | Column) -> Column:
-    """Age in words, by the limits 45 s, 90 min and 1 day."""
-    s = F.greatest(seconds_between(as_of, _c(ts)), F.lit(0))
-    n = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
-    return F.when(s < 45, "just now").when(s < 5400, n(60, "m ago")).when(s < 86400, n(3600, "h ago")).otherwise(n(86400, "d ago"))
+    """Age in words, by the limits 45 s, 90 min and 1 day; minutes and hours are rounded."""
+    return _age(as_of, _c(ts), ("just now", "m ago", "h ago", "d ago"), 45, 86400)
 
 
 def short_ago(as_of: Column, ts: str | Column) -> Column:
-    s = F.greatest(seconds_between(as_of, _c(ts)), F.lit(0))
-    n = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
-    return F.when(s < 90, "now").when(s < 5400, n(60, "m")).when(s < 172800, n(3600, "h")).otherwise(n(86400, "d"))
+    """Age in a column's width, by the limits 90 s, 90 min and 2 days."""
+    return _age(as_of, _c(ts), ("now", "m", "h", "d"), 90, 172800)
 
 
 def clock(ts: str | Column) -> Column:
@@ -176,7 +187,7 @@ def clock(ts: str | Column) -> Column:
 
 def byte_size(n: str | Column) -> Column:
     n = _c(n)
-    part = lambda d, u: F.concat(F.format_number(n / d, "0.0"), F.lit(u))
+    part = lambda d, u: F.concat(F.bround(n / d, 0).cast("long").cast("string"), F.lit(u))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, part(1 << 10, "K")).when(n < 1 << 30, part(1 << 20, "M")).otherwise(part(1 << 30, "G"))
 
 

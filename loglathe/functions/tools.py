@@ -14,12 +14,16 @@ def string_at(v: Column, key: str) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(v, f"$.{key}", "string")), F.lit(""))
 
 
-def shell_gist(command: Column) -> Column:
+def shell_line(command: Column) -> Column:
     """A command without its here-document, whose lines are counted."""
     at = F.instr(command, "<<")
     head = flatten(F.substring(command, F.lit(1), at - 1))
     inner = F.greatest(line_count(F.substring(command, at, F.length(command))) - 2, F.lit(0))
-    return clip(F.when(at > 0, F.concat(head, F.lit(" ‹"), inner.cast("string"), F.lit(" lines›"))).otherwise(flatten(command)), 110)
+    return F.when(at > 0, F.concat(head, F.lit(" ‹"), inner.cast("string"), F.lit(" lines›"))).otherwise(command)
+
+
+def shell_gist(command: Column) -> Column:
+    return clip(flatten(shell_line(command)), 110)
 
 
 def longest_string(v: Column) -> Column:
@@ -39,7 +43,11 @@ def todo_gist(v: Column) -> Column:
 
 
 def tool_gist(name: Column, v: Column) -> Column:
-    """A call in one line, by the tool's name."""
+    return clip(flatten(tool_line(name, v)), 110)
+
+
+def tool_line(name: Column, v: Column) -> Column:
+    """What a call shows, by the tool's name."""
     s = lambda k: string_at(v, k)
     number = lambda k: F.try_variant_get(v, f"$.{k}", "bigint")
     file = base(s("file_path"))
@@ -61,10 +69,10 @@ def tool_gist(name: Column, v: Column) -> Column:
         ("TodoWrite",): todo_gist(v),
         ("AskUserQuestion",): F.when(F.size(asked) > 1, F.concat(first, F.lit("  (+"), (F.size(asked) - 1).cast("string"), F.lit(" more)"))).otherwise(first),
     }
-    out = F.when(name.isin("Bash", "BashOutput"), shell_gist(s("command")))
+    out = F.when(name.isin("Bash", "BashOutput"), shell_line(s("command")))
     for names, text in cases.items():
-        out = out.when(name.isin(*names), clip(flatten(text), 110))
-    return out.otherwise(clip(flatten(F.coalesce(some(s("description")), some(longest_string(v)), name)), 110))
+        out = out.when(name.isin(*names), text)
+    return out.otherwise(F.coalesce(some(s("description")), some(longest_string(v)), name))
 
 
 def tool_body(name: Column, v: Column) -> Column:
@@ -80,9 +88,41 @@ def tool_body(name: Column, v: Column) -> Column:
     )
 
 
-def result_hint(body: Column, is_error: Column) -> Column:
-    """How a call turned out, in a few words."""
-    text = F.trim(body)
+def result_hint(body: Column, is_error: Column | None = None) -> Column:
+    """How a call turned out, in a few words; without ``is_error`` failures look like other results."""
+    text = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
     n = line_count(text)
     short = F.when((n <= 1) & (F.length(text) <= 48), flatten(text)).otherwise(F.concat(n.cast("string"), F.when(n == 1, " line").otherwise(" lines")))
+    if is_error is None:
+        return F.when(text == "", "ok").otherwise(short)
     return F.when((text == "") & is_error, "failed").when(text == "", "ok").when(is_error, clip(flatten(text), 60)).otherwise(short)
+
+
+def rollout_gist(name: Column, body: Column) -> Column:
+    return clip(flatten(rollout_line(name, body)), 110)
+
+
+def rollout_line(name: Column, body: Column) -> Column:
+    """What a rollout's call shows: the command inside its wrapper code, else the longest string of
+    its arguments, else name and arguments."""
+    command = F.regexp_extract(body, r'(?s)"cmd":"(.*?)"', 1)
+    plain = F.replace(F.replace(F.replace(command, F.lit("\\n"), F.lit(" ")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    longest = longest_string(F.try_parse_json(body))
+    return F.when(F.contains(body, F.lit('"cmd":"')) & (command != ""), plain).otherwise(F.coalesce(longest, F.concat_ws(" ", name, body)))
+
+
+def part_gist(name: Column, v: Column) -> Column:
+    return clip(flatten(part_line(name, v)), 110)
+
+
+def part_line(name: Column, v: Column) -> Column:
+    """What a part's call shows, by the tool's lower-case name."""
+    s = lambda k: string_at(v, k)
+    text = (
+        F.when(name == "bash", s("command"))
+        .when(name.isin("read", "write", "edit"), base(s("filePath")))
+        .when(name.isin("grep", "glob"), s("pattern"))
+        .when(name == "webfetch", s("url"))
+        .otherwise(F.coalesce(longest_string(v), F.lit("")))
+    )
+    return F.when(F.trim(text) == "", name).otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loglathe.functions.text import seconds_between
+from loglathe.functions.text import ago, byte_size, seconds_between, tilde
 
 
 def search(events: DataFrame, query: str, kinds: list[str], order: list[Column], limit: int = 200) -> DataFrame:
@@ -85,3 +85,24 @@ def nearest_root(dirs: DataFrame, repos: DataFrame) -> DataFrame:
     ancestors = dirs.select("path").distinct().select("path", above.alias("root"))
     found = ancestors.join(repos.select("root"), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return dirs.select("path").distinct().join(found, "path", "left")
+
+
+def hit_projects(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A search result with ``title``: the project of a hit's session, else the id's first eight
+    characters."""
+    s = sessions.select(F.col("id").alias("session"), "project")
+    short = F.substring(F.col("session").cast("string"), 1, 8)
+    return hits.join(s, "session", "left").withColumn("title", F.coalesce(F.col("project").cast("string"), short)).drop("project")
+
+
+def project_counts(sessions: DataFrame, live: Column) -> DataFrame:
+    """(project, sessions, live, heading): a heading is shown where there is more than one."""
+    g = sessions.groupBy("project").agg(F.count("*").alias("sessions"), F.count_if(live).alias("live"))
+    return g.withColumn("heading", F.col("sessions") > 1)
+
+
+def conversation_list(sessions: DataFrame, as_of: Column, here: Column, limit: int = 30) -> DataFrame:
+    """(id, title, age, size, source) of the first ``limit`` sessions: those ``here`` first, then by
+    recency."""
+    top = sessions.orderBy(F.desc(F.coalesce(here, F.lit(False))), F.desc("modified"), "session").limit(limit)
+    return top.select(F.substring(F.col("session").cast("string"), 1, 8).alias("id"), tilde("title", "home").alias("title"), ago(as_of, "modified").alias("age"), byte_size("bytes").alias("size"), "source")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglathe.schema import SCHEMA_VERSION, require_version
+
 
 def assign_seq(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
     """``new`` with dense numbers that go on from each session's greatest in ``old``."""
@@ -67,6 +72,103 @@ def retained(sessions: DataFrame, keep: int, days: int, most_bytes: int, as_of:
     return running(young, F.col("bytes"), "total").where(F.col("total") <= most_bytes).drop("rng")
 
 
+def resume(manifest: DataFrame, sessions: DataFrame, parser_version: int) -> DataFrame:
+    """Files to read, with ``start`` in bytes: the session's cursor, or 0 where there is none, where it
+    isn't a number, where another parser wrote the session, and where the file has shrunk below it.
+    Files without anything new are left out."""
+    s = sessions.select("session", F.expr("try_cast(cursor AS BIGINT)").alias("at"), "parser_version")
+    again = F.col("at").isNull() | (F.col("at") < 0) | (F.col("at") > F.col("bytes")) | ~F.col("parser_version").eqNullSafe(F.lit(parser_version))
+    return manifest.join(s, "session", "left").withColumn("start", F.when(again, 0).otherwise(F.col("at"))).where(F.col("start") < F.col("bytes")).drop("at", "parser_version")
+
+
+def reparsed(events: DataFrame, sessions: DataFrame, fresh: DataFrame, parser_version: int) -> DataFrame:
+    """The archive's events where the rows of stale sessions are those of ``fresh``, read anew."""
+    old = stale(sessions, parser_version).select(F.col("id").alias("session"))
+    return events.join(old, "session", "left_anti").unionByName(fresh.join(old, "session", "left_semi").select(*events.columns))
+
+
+def described(manifest: DataFrame, facts: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Facts of every file of ``manifest``: the kept ones where path, time and size are as they were,
+    else ``describe`` of the changed files, which gives the columns of ``facts``."""
+    key = ["path", "mtime", "bytes"]
+    return facts.join(manifest.select(*key), key, "left_semi").unionByName(describe(changed_only(manifest, facts)).select(*facts.columns))
+
+
+def load_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """All events of the sessions (session), in their order."""
+    return events.join(sessions.select("session").distinct(), "session", "left_semi").orderBy("session", "seq")
+
+
+def save_gists(answers: DataFrame, model: str, created: Column) -> DataFrame:
+    """Rows for the append-only log of gists.  Nothing is updated: ``current_gists`` reads the newest
+    of each hash, and events take gists by a join."""
+    return answers.where(F.col("gist") != "").select("hash", "gist", F.lit(model).alias("model"), created.alias("created"), F.col("tok_in").cast("long").alias("tok_in"), F.col("tok_out").cast("long").alias("tok_out"))
+
+
 def current_gists(log: DataFrame) -> DataFrame:
     """The newest gist of each hash in the append-only log."""
-    return log.groupBy("hash").agg(F.max_by(F.struct("gist", "model", "tok_in", "tok_out"), F.struct("created", "gist")).alias("g")).select("hash", "g.*")
+    newest = F.struct("created", "gist", "model", "tok_in", "tok_out")
+    return log.groupBy("hash").agg(F.max(newest).alias("g")).select("hash", "g.gist", "g.model", "g.created", "g.tok_in", "g.tok_out")
+
+
+def merge_sessions(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Sessions of both; ours win, but a session that was read further elsewhere counts as read."""
+    read = theirs.groupBy("id").agg(F.max("seen").alias("their_seen"))
+    both = ours.join(read, "id", "left").withColumn("seen", F.greatest("seen", F.coalesce("their_seen", "seen"))).select(*ours.columns)
+    new = theirs.dropDuplicates(["id"]).join(ours.select("id"), "id", "left_anti")
+    return both.unionByName(new.select(*ours.columns))
+
+
+def merge_gists(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    return ours.unionByName(theirs.dropDuplicates(["hash"]).join(ours.select("hash"), "hash", "left_anti").select(*ours.columns))
+
+
+def merge_counts(ours: dict[str, DataFrame], theirs: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows) that a merge of ``sessions``, ``gists`` and ``events`` takes: merging again takes
+    none."""
+    keys = {"sessions": ["id"], "gists": ["hash"], "events": ["session", "uid"]}
+    new = [theirs[t].select(*k).distinct().join(ours[t], k, "left_anti").agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t, k in keys.items()]
+    return reduce(DataFrame.unionByName, new)
+
+
+def shared_counts(sessions: DataFrame, gists: DataFrame, events: DataFrame) -> DataFrame:
+    """(name, rows, raw_bytes) of what an export holds."""
+    each = {"sessions": (sessions, F.lit(0)), "gists": (gists, F.lit(0)), "events": (events, F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)))}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("rows"), size.cast("long").alias("raw_bytes")).select(F.lit(t).alias("name"), "rows", "raw_bytes") for t, (df, size) in each.items()])
+
+
+def export_archive(path: str, sessions: DataFrame, gists: DataFrame, events: DataFrame, raw: bool = False, strict: bool = False) -> dict[str, int]:
+    """Write a copy for others below ``path``, with the schema's version; rows and bytes of text are
+    counted while they are written."""
+    out, seen = shareable(events, raw, strict), Observation("events")
+    counts = {}
+    for name, df in (("sessions", sessions), ("gists", gists)):
+        n = Observation(name)
+        df.withColumn("schema_version", F.lit(SCHEMA_VERSION)).observe(n, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{name}")
+        counts[name] = n.get["n"]
+    size = F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes")
+    out.withColumn("schema_version", F.lit(SCHEMA_VERSION)).observe(seen, F.count(F.lit(1)).alias("n"), size).write.parquet(f"{path}/events")
+    return counts | {"events": seen.get["n"], "raw_bytes": seen.get["bytes"]}
+
+
+def read_archive(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of an archive; ValueError if a newer program wrote it."""
+    return require_version(spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")).drop("schema_version")
+
+
+def archive_size(events: DataFrame) -> DataFrame:
+    """(session, rows, bytes): what the archive holds of each session."""
+    size = F.octet_length("raw") + F.octet_length(F.coalesce("gist", F.lit(""))) + F.octet_length(F.coalesce("outcome", F.lit("")))
+    return events.groupBy("session").agg(F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"))
+
+
+def on_disk(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) below a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def replaceable(sessions: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Sessions with ``replaceable``: whether their transcript is still there to be read again."""
+    live = manifest.select("path").distinct().withColumn("replaceable", F.lit(True))
+    return sessions.join(live, "path", "left").withColumn("replaceable", F.coalesce("replaceable", F.lit(False)))

@@ -14,19 +14,34 @@ from loglathe.functions.text import deflected, flatten, preview, prompt_body, ti
 from loglathe.schema import PROSE_LIMIT
 
 CLAIM_SECONDS = 90
+SETTLE_SECONDS = 20
+
+
+def not_claimed(work: DataFrame, in_flight: DataFrame, as_of: Column) -> DataFrame:
+    """Work without the hashes that another run has claimed within ``CLAIM_SECONDS``."""
+    recent = in_flight.where(F.col("at") >= as_of - F.make_interval(secs=F.lit(CLAIM_SECONDS)))
+    return work.join(recent.select("hash"), "hash", "left_anti")
+
+
+def settled(events: DataFrame, order: list[str], as_of: Column) -> DataFrame:
+    """Events without the newest one of each session that wrote anything within ``SETTLE_SECONDS``: a
+    turn that is still being written would be condensed again with each block."""
+    newest = events.groupBy("session").agg(F.max("ts").alias("quiet_from"), F.max_by("uid", F.struct(*order)).alias("newest"))
+    young = newest.where(as_of - F.make_interval(secs=F.lit(SETTLE_SECONDS)) < F.col("quiet_from")).select("session", F.col("newest").alias("uid"))
+    return events.join(young, ["session", "uid"], "left_anti")
 
 
 def pending(events: DataFrame, gists: DataFrame, in_flight: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """(hash, kind, body) to condense: long prose without a secret, whose hash has no gist and is not
-    claimed since ``CLAIM_SECONDS``; each hash once."""
+    claimed since ``CLAIM_SECONDS``; each hash once.  Give it ``settled`` events where sessions may
+    still be written."""
     work = events.where(needs_model(F.col("kind")) & (F.length(flatten(preview("raw"))) > PROSE_LIMIT))
     work = work.where(secret_type("raw").isNull())
     tool = F.lit(None).cast("string")
     work = work.select(content_hash(F.col("kind"), tool, F.col("raw")).alias("hash"), "kind", prompt_body(label(F.col("kind"), tool), F.col("raw")).alias("body"))
     work = work.join(gists.select("hash"), "hash", "left_anti")
     if in_flight is not None:
-        recent = in_flight.where(F.col("at") >= as_of - F.make_interval(secs=F.lit(CLAIM_SECONDS)))
-        work = work.join(recent.select("hash"), "hash", "left_anti")
+        work = not_claimed(work, in_flight, as_of)
     return work.dropDuplicates(["hash"])
 
 
@@ -60,3 +75,14 @@ def with_gists(events: DataFrame, gists: DataFrame) -> DataFrame:
     rows = rows.join(gists.select("hash", F.col("gist").alias("model_gist")), "hash", "left")
     src = F.when(held, "withheld").when(F.col("model_gist").isNotNull(), "model").when(F.length(flatten("raw")) <= PROSE_LIMIT, "verbatim").otherwise("pending")
     return rows.withColumn("gist_src", src)
+
+
+def answered(turns: DataFrame, gists: DataFrame) -> DataFrame:
+    """Fused turns (gist, gist_src, hash) with the summaries that are there: only what waits takes one,
+    and a text that holds a secret is withheld."""
+    rows = turns.withColumn("held", secret_type("raw").isNotNull())
+    rows = rows.withColumn("hash", F.when(~F.col("held"), F.col("hash")))
+    rows = rows.join(gists.select("hash", F.col("gist").alias("answer")), "hash", "left")
+    takes = (F.col("gist_src") == "pending") & F.col("answer").isNotNull()
+    src = F.when(F.col("held") & (F.col("gist_src") == "pending"), "withheld").when(takes, "model").otherwise(F.col("gist_src"))
+    return rows.withColumns({"gist": F.when(takes, F.col("answer")).otherwise(F.col("gist")), "gist_src": src}).drop("answer", "held")

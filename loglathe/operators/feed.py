@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglathe.functions.gists import prose_gist
+from loglathe.functions.identity import content_hash
+
 #: Kinds that end a run of prose.
 BREAKS = ("say", "prompt", "note")
 
@@ -41,15 +44,38 @@ def feed_rows(events: DataFrame, order: list[str]) -> DataFrame:
     return fused.select(*cols).unionByName(events.where(F.col("kind") != "say").withColumn("n", F.lit(1).cast("long")).select(*cols))
 
 
+def fused_gists(turns: DataFrame) -> DataFrame:
+    """Fused turns with the gist, its source and the hash of their joined text: a fused message is
+    condensed as one."""
+    gist, src = prose_gist(F.col("raw"))
+    return turns.withColumns({"gist": gist, "gist_src": src, "hash": content_hash(F.lit("say"), F.lit(None).cast("string"), F.col("raw"))})
+
+
+def messages(events: DataFrame, order: list[str]) -> DataFrame:
+    """The feed with its texts: fused turns and every row that isn't part of one, (session, uid, kind,
+    ts, n, tokens, raw, at); ``at`` is the uid of the row where a message stands."""
+    say = runs(events, order).where(F.col("kind") == "say")
+    last = F.max_by("uid", F.struct(*order)).alias("at")
+    where = say.groupBy("session", "run").agg(last)
+    fused = fuse_turns(events, order).join(where, ["session", "run"]).withColumnRenamed("last_ts", "ts").withColumn("kind", F.lit("say"))
+    single = say.withColumn("n", F.count("*").over(Window.partitionBy("session", "run"))).where("n = 1")
+    cols = ["session", F.col("uid").cast("string").alias("uid"), "kind", "ts", "n", "tokens", "raw", F.col("at").cast("string").alias("at")]
+    others = events.where(F.col("kind") != "say").withColumn("n", F.lit(1).cast("long"))
+    out = fused.select(*cols)
+    for df in (single, others):
+        out = out.unionByName(df.withColumn("at", F.col("uid")).select(*cols))
+    return out
+
+
 def origins(events: DataFrame, order: list[str]) -> DataFrame:
-    """The merged feed of all sessions with ``caption``: true where the session changes.  Days are
-    judged apart and joined at their edges, so no task sorts the whole log."""
-    day = F.to_date("ts")
+    """The merged feed of all sessions with ``caption``: true where the session changes.  Hours are
+    judged apart and joined at their edges, so no task sorts the whole log or a day of it."""
+    day = F.date_trunc("hour", "ts")
     w = Window.partitionBy("day").orderBy(*order)
     rows = events.withColumn("day", day).withColumn("before", F.lag("session").over(w))
     edge = rows.groupBy("day").agg(F.max_by("session", F.struct(*order)).alias("last"))
     edge = edge.withColumn("prior", F.lag("last").over(Window.orderBy("day")))
-    rows = rows.join(F.broadcast(edge.select("day", "prior")), "day", "left")
+    rows = rows.join(edge.select("day", "prior"), "day", "left")
     before = F.coalesce("before", "prior")
     return rows.withColumn("caption", before.isNull() | (before != F.col("session"))).drop("day", "before", "prior")
 

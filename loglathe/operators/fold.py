@@ -1,4 +1,4 @@
-"""Tool results folded into their calls."""
+"""Tool results folded into their calls, and the event table made of normalised rows."""
 
 from __future__ import annotations
 
@@ -6,18 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglathe.functions.identity import content_hash
+from loglathe.schema import EVENTS, PARSER_VERSION
+
+
+def paired(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Calls and results (file, call_id, is_call, ...) with ``answer``, a struct of the row that follows
+    a call if that is its result, and ``answers``: whether a result follows its call.  Rows with an
+    empty id never pair, and are spread by their place."""
+    key = F.when(F.col("call_id") == "", F.concat(F.lit("#"), F.xxhash64(*order).cast("string"))).otherwise(F.concat(F.lit("="), "call_id"))
+    w = Window.partitionBy("file", key).orderBy(*order)
+    named = F.col("call_id") != ""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.withColumns({"answer": F.when(F.col("is_call") & named & ~F.lead("is_call").over(w), F.lead(row).over(w)), "answers": F.coalesce(~F.col("is_call") & named & F.lag("is_call").over(w), F.lit(False))})
+
 
 def fold_results(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Calls with the result that follows them: rows (file, call_id, is_call, body, is_error) of
-    calls and results; a call takes the next row of its id iff that is a result.  Rows with an
-    empty id never pair."""
-    w = Window.partitionBy("file", "call_id").orderBy(*order)
-    following = lambda c: F.when(~F.lead("is_call").over(w) & (F.col("call_id") != ""), F.lead(c).over(w))
-    return rows.withColumns({"outcome": following("body"), "failed": F.coalesce(following("is_error"), F.lit(False))}).where("is_call")
+    """Calls with the body of the result that follows them as ``outcome``, and whether it failed."""
+    return paired(rows, order).where("is_call").withColumns({"outcome": F.col("answer.body"), "failed": F.coalesce("answer.is_error", F.lit(False))}).drop("answer", "answers")
 
 
 def orphan_failures(rows: DataFrame, order: list[str]) -> DataFrame:
     """Failed results whose call isn't there."""
-    w = Window.partitionBy("file", "call_id").orderBy(*order)
-    alone = ~F.coalesce(F.lag("is_call").over(w) & (F.col("call_id") != ""), F.lit(False))
-    return rows.withColumn("alone", alone).where(~F.col("is_call") & F.col("alone") & F.col("is_error")).drop("alone")
+    return paired(rows, order).where(~F.col("is_call") & ~F.col("answers") & F.col("is_error")).drop("answer", "answers")
+
+
+def folded(rows: DataFrame, orphans: bool = True) -> DataFrame:
+    """Normalised rows without results: a call takes its result's text, hint and failure; a failed
+    result without a call becomes a ``fail`` row if ``orphans``.  Only calls and results are
+    shuffled."""
+    order = ["pos", "sub"]
+    tools = rows.where((F.col("kind") == "result") | F.col("is_call"))
+    others = rows.where((F.col("kind") != "result") & ~F.col("is_call")).withColumn("outcome", F.col("hint"))
+    done = paired(tools, order)
+    body = F.coalesce("answer.raw", F.lit(""))
+    calls = done.where("is_call").withColumns(
+        {
+            "raw": F.when(body == "", F.col("raw")).otherwise(F.concat("raw", F.lit("\n\n── result ──\n"), body)),
+            "outcome": F.col("answer.hint"),
+            "is_error": F.coalesce("answer.is_error", F.lit(False)),
+        }
+    )
+    out = others.unionByName(calls.select(*others.columns))
+    if orphans:
+        lost = done.where(~F.col("is_call") & ~F.col("answers") & F.col("is_error"))
+        out = out.unionByName(lost.withColumns({"kind": F.lit("fail"), "outcome": F.lit(None).cast("string")}).select(*others.columns))
+    return out
+
+
+def to_events(rows: DataFrame, source: str) -> DataFrame:
+    """Folded rows in the columns of ``schema.EVENTS``; ``seq`` is dense within a session, in the order
+    of the log.  Rows of one session with one uid are the same row read twice: the first
+    stays, but rows without a uid all do."""
+    once = Window.partitionBy("session", "uid").orderBy("file", "pos", "sub")
+    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1 or uid = ''")
+    seq = F.row_number().over(Window.partitionBy("session").orderBy("file", "pos", "sub")) - 1
+    new = {"source": F.lit(source), "seq": seq.cast("long"), "content_hash": content_hash(F.col("kind"), F.col("tool"), F.col("raw")), "parser_version": F.lit(PARSER_VERSION)}
+    return rows.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in (x.split()[0] for x in EVENTS.split(", "))])

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder of spark.checkpoint.dir; an own folder only where that is unset."""
+    """An unused path in the folder of spark.checkpoint.dir.  Where that is unset, a local session gets
+    a folder of its own; on a cluster executors could not share one, so it is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -1,204 +1,115 @@
-"""Transcript readers: JSON lines with content blocks, rollout lines, and part tables.
-
-Every reader gives (file, pos, sub, uid, ts, ts_missing, kind, tool, raw, call_id, is_call, is_error,
-tokens): events, and tool results (kind ``result``) that ``operators.fold`` joins to their calls.
-Missing keys and wrong types read as null; lines that aren't JSON are skipped, so a torn last line
-waits for the next read.  A missing time becomes the file's, and the row says so.
-"""
+"""Sources of transcripts: each gives its inventory, facts and events as DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from loglathe.functions.text import between, clip, flatten, slash_command
-from loglathe.functions.tools import string_at, tool_body
 
-COLUMNS = ["file", "pos", "sub", "uid", "ts", "ts_missing", "kind", "tool", "raw", "call_id", "is_call", "is_error", "tokens"]
-
-#: Openings of wrapper texts that only look like the user's.
-INJECTED = ("<environment_context>", "<user_instructions>", "<skills_instructions>")
+from loglathe.operators.fold import folded, to_events
+from loglathe.schema import EVENTS
+from loglathe.sources.blocks import normalise_blocks
+from loglathe.sources.lines import first_facts, last_speaker, manifest, read_lines, stem_of
+from loglathe.sources.parts import high_water, normalise_parts, part_table
+from loglathe.sources.rollouts import announced, normalise_rollout
 
 
 class Source(Protocol):
     """A pluggable producer of transcripts."""
 
-    def manifest(self) -> DataFrame: ...
+    name: str
+
+    def manifest(self) -> DataFrame:
+        """(path, mtime, bytes, session)."""
+
+    def facts(self) -> DataFrame:
+        """(path, cwd, branch, assistant_last)."""
+
+    def events(self) -> DataFrame:
+        """Rows of ``schema.EVENTS``."""
+
+
+@dataclass(frozen=True)
+class BlockLogs:
+    """Format 1 below a folder: one folder a project, one file a session."""
+
+    spark: SparkSession
+    root: str
+    name: str = "blocks"
+
+    def manifest(self) -> DataFrame:
+        return manifest(self.spark, self.root)
+
+    def facts(self) -> DataFrame:
+        lines = read_lines(self.spark, self.root)
+        return first_facts(lines).join(last_speaker(normalise_blocks(lines)), "file", "left").withColumnRenamed("file", "path")
+
+    def events(self) -> DataFrame:
+        return to_events(folded(normalise_blocks(read_lines(self.spark, self.root))), self.name)
+
+
+@dataclass(frozen=True)
+class Rollouts:
+    """Format 2 below a folder, in folders by date."""
+
+    spark: SparkSession
+    root: str
+    name: str = "rollouts"
+
+    def manifest(self) -> DataFrame:
+        return manifest(self.spark, self.root, dated=True)
+
+    def facts(self) -> DataFrame:
+        lines = read_lines(self.spark, self.root)
+        return first_facts(lines, dated=True).join(last_speaker(normalise_rollout(lines)), "file", "left").withColumnRenamed("file", "path")
+
+    def events(self) -> DataFrame:
+        lines = read_lines(self.spark, self.root)
+        rows = folded(normalise_rollout(lines), orphans=False)
+        named = rows.drop("session").join(announced(lines), "file", "left")
+        return to_events(named.withColumn("session", F.coalesce("session", stem_of(F.col("file")))), self.name)
+
+
+@dataclass(frozen=True)
+class PartTables:
+    """Format 3: tables of sessions, messages and parts."""
+
+    sessions: DataFrame
+    messages: DataFrame
+    parts: DataFrame
+    name: str = "parts"
+
+    def manifest(self) -> DataFrame:
+        sizes = self.parts.groupBy(F.col("session_id").alias("session")).agg(F.sum(F.length("data")).alias("bytes"))
+        s = self.sessions.select(F.col("id").alias("session"), F.col("id").alias("path"), F.timestamp_millis("time_updated").alias("mtime"))
+        return s.join(sizes, "session").select("path", "mtime", "bytes", "session")
+
+    def facts(self) -> DataFrame:
+        role = F.get_json_object("data", "$.role")
+        last = self.messages.groupBy(F.col("session_id").alias("path")).agg(F.max_by(role == "assistant", F.struct("time_created", "id")).alias("assistant_last"))
+        s = self.sessions.select(F.col("id").alias("path"), F.col("directory").alias("cwd"), F.lit(None).cast("string").alias("branch"))
+        return s.join(last, "path", "left")
+
+    def events(self) -> DataFrame:
+        return to_events(folded(normalise_parts(part_table(self.parts, self.messages))), self.name)
+
+    def marks(self) -> DataFrame:
+        """(session, updated): where the next read begins."""
+        return high_water(part_table(self.parts, self.messages))
+
 
-    def facts(self) -> DataFrame: ...
-
-    def events(self) -> DataFrame: ...
-
-
-def read_all(sources: list[Source]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [s.events() for s in sources])
-
-
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, bytes, session) of transcript files; the contents aren't read."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
-    stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
-    last = F.element_at(F.split(stem, "-"), -1)
-    session = F.when(F.octet_length(last) >= 8, last).otherwise(stem)
-    return df.where(F.col("length") > 0).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"), stem.alias("stem"), session.alias("short_id"))
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value, file_ts) of every line, in an order that holds within a file."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return df.select(F.col("_metadata.file_path").alias("file"), order.alias("pos"), "value", F.col("_metadata.file_modification_time").alias("file_ts"))
-
-
-def _parsed(lines: DataFrame) -> DataFrame:
-    v = lines.withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull())
-    ts = F.try_to_timestamp(_s(F.col("v"), "timestamp"))
-    return v.withColumns({"ts_missing": ts.isNull(), "ts": F.coalesce(ts, F.col("file_ts"))})
-
-
-def _s(v: Column, path: str) -> Column:
-    """The string at a path, null for any other type."""
-    at = F.try_variant_get(v, f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(v, f"$.{path}", "string"))
-
-
-def _flag(v: Column, path: str) -> Column:
-    at = F.try_variant_get(v, f"$.{path}", "variant")
-    return F.coalesce((F.schema_of_variant(at) == "BOOLEAN") & F.try_variant_get(v, f"$.{path}", "boolean"), F.lit(False))
-
-
-def _texts(v: Column, path: str) -> Column:
-    """A string, or the texts of an array of blocks joined by line ends."""
-    blocks = F.try_variant_get(v, f"$.{path}", "array<struct<text: string>>")
-    return F.coalesce(_s(v, path), F.array_join(F.transform(blocks, lambda b: b.text), "\n"), F.lit(""))
-
-
-def normalise_blocks(lines: DataFrame) -> DataFrame:
-    """Format 1: user and assistant records whose content is a string or an array of blocks."""
-    rows = _parsed(lines).withColumn("type", _s(F.col("v"), "type"))
-    rows = rows.where(~_flag(F.col("v"), "isSidechain"))
-    v = F.col("v")
-    uid = F.coalesce(_s(v, "uuid"), F.lit(""))
-    empty = {"tool": F.lit(None).cast("string"), "call_id": F.lit(""), "is_call": F.lit(False), "is_error": F.lit(False), "sub": F.lit(0), "tokens": F.lit(0).cast("long"), "uid": uid}
-
-    def shaped(df: DataFrame, **columns: Column) -> DataFrame:
-        return df.withColumns(empty | columns).select(*COLUMNS)
-
-    queued = rows.where((F.col("type") == "attachment") & (_s(v, "attachment.type") == "queued_command") & (_s(v, "attachment.origin.kind") == "human"))
-    queued = queued.withColumn("ts", F.coalesce(F.try_to_timestamp(_s(v, "attachment.timestamp")), "ts"))
-    out = shaped(queued.where(F.trim(_s(v, "attachment.prompt")) != ""), kind=F.lit("prompt"), raw=F.trim(_s(v, "attachment.prompt")))
-    compact = rows.where((F.col("type") == "system") & (_s(v, "subtype") == "compact_boundary"))
-    count = F.coalesce(F.try_variant_get(v, "$.messageCount", "bigint"), F.lit(0))
-    out = out.unionByName(shaped(compact, kind=F.lit("note"), raw=F.format_string("context compacted after %d messages", count)))
-    spoken = rows.where(F.col("type").isin("user", "assistant") & ~((F.col("type") == "user") & _flag(v, "isMeta")))
-    notice = (F.col("type") == "user") & (F.coalesce(_s(v, "promptSource"), F.lit("")) == "system")
-    summary = F.trim(between(F.coalesce(_texts(v, "message.content"), F.lit("")), "<summary>", "</summary>"))
-    notices = spoken.where(notice).withColumn("raw", clip(flatten(summary), 96)).where(F.col("raw") != "")
-    out = out.unionByName(shaped(notices, kind=F.lit("note"), raw=F.col("raw")))
-    spoken = spoken.where(~notice)
-    tokens = F.greatest(F.coalesce(F.try_variant_get(v, "$.message.usage.output_tokens", "bigint"), F.lit(0)), F.lit(0))
-    whole = spoken.where(_s(v, "message.content").isNotNull()).select("*", F.lit(0).alias("at"), F.parse_json(F.to_json(F.struct(F.lit("text").alias("type"), _s(v, "message.content").alias("text")))).alias("b"))
-    split = spoken.where(_s(v, "message.content").isNull()).select("*", F.posexplode(F.try_variant_get(v, "$.message.content", "array<variant>")).alias("at", "b"))
-    b = F.col("b")
-    rows = whole.unionByName(split).withColumn("block", _s(b, "type"))
-    text = F.trim(F.coalesce(F.when(F.col("block") == "thinking", _s(b, "thinking")).otherwise(_s(b, "text")), F.lit("")))
-    prose = rows.where(F.col("block").isin("text", "thinking")).withColumn("raw", text).where(F.col("raw") != "")
-    nth = F.row_number().over(Window.partitionBy("file", "pos").orderBy("at")) - 1
-    prose = prose.withColumn("nth", nth)
-    kind = F.when(F.col("type") == "user", "prompt").when(F.col("block") == "thinking", "think").otherwise("say")
-    out = out.unionByName(
-        shaped(prose, kind=kind, raw=F.coalesce(F.when(F.col("type") == "user", slash_command("raw")), F.col("raw")), sub=F.col("at"), tokens=tokens, uid=F.when(F.col("nth") > 0, F.concat_ws("#", uid, F.col("nth").cast("string"))).otherwise(uid))
-    )
-    calls = rows.where(F.col("block") == "tool_use")
-    name, given = F.coalesce(_s(b, "name"), F.lit("")), F.try_variant_get(b, "$.input", "variant")
-    out = out.unionByName(shaped(calls, kind=F.lit("tool"), tool=name, raw=tool_body(name, given), sub=F.col("at"), uid=F.coalesce(_s(b, "id"), F.lit("")), call_id=F.coalesce(_s(b, "id"), F.lit("")), is_call=F.lit(True)))
-    results = rows.where(F.col("block") == "tool_result")
-    return out.unionByName(shaped(results, kind=F.lit("result"), raw=_texts(b, "content"), sub=F.col("at"), call_id=F.coalesce(_s(b, "tool_use_id"), F.lit("")), is_error=_flag(b, "is_error")))
-
-
-def injected(text: Column) -> Column:
-    """Whether a text is the harness's description of the surroundings: it opens with a known tag, or
-    with any tag and names a context."""
-    text = F.ltrim(text)
-    return reduce(lambda a, b: a | b, [text.startswith(x) for x in INJECTED]) | (text.startswith("<") & F.contains(text, F.lit("_context>")))
-
-
-def normalise_rollout(lines: DataFrame) -> DataFrame:
-    """Format 2: response items; messages, calls and their outputs."""
-    rows = _parsed(lines)
-    v = F.col("v")
-    rows = rows.where(_s(v, "type") == "response_item").withColumns({"item": _s(v, "payload.type"), "role": _s(v, "payload.role")})
-    call_id = F.coalesce(_s(v, "payload.call_id"), F.lit(""))
-    uid = F.coalesce(_s(v, "payload.id"), call_id)
-    kind = (
-        F.when((F.col("item") == "message") & (F.col("role") == "user"), "prompt")
-        .when((F.col("item") == "message") & (F.col("role") == "assistant"), "say")
-        .when(F.col("item").isin("function_call", "custom_tool_call"), "tool")
-        .when(F.col("item").isin("function_call_output", "custom_tool_call_output"), "result")
-    )
-    content = F.trim(_texts(v, "payload.content"))
-    args = F.coalesce(_s(v, "payload.arguments"), _s(v, "payload.input"), F.lit(""))
-    output = _texts(v, "payload.output")
-    rows = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    rows = rows.withColumns({"raw": F.when(F.col("kind") == "tool", args).when(F.col("kind") == "result", output).otherwise(content)})
-    rows = rows.where(~(F.col("kind").isin("prompt", "say") & ((F.col("raw") == "") | ((F.col("kind") == "prompt") & injected(F.col("raw"))))))
-    return rows.withColumns(
-        {
-            "sub": F.lit(0),
-            "uid": uid,
-            "tool": F.when(F.col("kind") == "tool", F.coalesce(_s(v, "payload.name"), F.lit(""))),
-            "call_id": F.when(F.col("kind").isin("tool", "result"), call_id).otherwise(""),
-            "is_call": F.col("kind") == "tool",
-            "is_error": (F.col("kind") == "result") & F.contains(F.lower("raw"), F.lit("error")),
-            "tokens": F.lit(0).cast("long"),
-        }
-    ).select(*COLUMNS)
-
-
-def read_parts(parts: DataFrame, messages: DataFrame, since: Column) -> DataFrame:
-    """Format 3: parts with their message, from ``since`` on, that time included."""
-    return parts.join(messages, "message").where(F.col("updated") >= since)
-
-
-def normalise_parts(joined: DataFrame) -> DataFrame:
-    """(session, uid, ts, kind, tool, raw, is_error) of joined parts with JSON ``data``: text,
-    reasoning and finished tools."""
-    rows = joined.withColumn("v", F.try_parse_json("data"))
-    v = F.col("v")
-    status = F.coalesce(_s(v, "state.status"), F.lit(""))
-    kind = (
-        F.when((_s(v, "type") == "text") & (F.col("role") == "user"), "prompt")
-        .when(_s(v, "type") == "text", "say")
-        .when(_s(v, "type") == "reasoning", "think")
-        .when((_s(v, "type") == "tool") & ~status.isin("running", "pending"), "tool")
-    )
-    given = F.try_variant_get(v, "$.state.input", "variant")
-    raw = F.when(kind == "tool", F.concat_ws("\n", tool_body(F.lit(""), given), F.coalesce(_s(v, "state.output"), F.lit("")))).otherwise(F.trim(string_at(v, "text")))
-    rows = rows.withColumns({"kind": kind, "tool": F.when(kind == "tool", _s(v, "tool")), "raw": raw, "is_error": status == "error"})
-    return rows.where(F.col("kind").isNotNull() & (F.col("raw") != "")).select("session", "uid", "ts", "kind", "tool", "raw", "is_error")
-
-
-def part_sessions(parts: DataFrame, messages: DataFrame) -> DataFrame:
-    """(session, parts, bytes) of sessions that have parts."""
-    sizes = parts.groupBy("message").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("b"))
-    return sizes.join(messages, "message").groupBy("session").agg(F.sum("n").alias("parts"), F.sum("b").alias("bytes"))
-
-
-def head_facts(lines: DataFrame, within: int = 400) -> DataFrame:
-    """(file, cwd, branch): the first of each in a file's first records."""
-    v = F.col("v")
-    n = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
-    rows = _parsed(lines).withColumn("n", n).where(F.col("n") <= within)
-    branch = F.when(~_s(v, "gitBranch").isin("", "HEAD"), _s(v, "gitBranch"))
-    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("n")))
-    return rows.groupBy("file").agg(first(_s(v, "cwd")).alias("cwd"), first(branch).alias("branch"))
-
-
-def last_speaker(events: DataFrame) -> DataFrame:
-    """(file, assistant_last): who spoke last, null if nobody did."""
-    at = F.when(F.col("kind").isin("prompt", "say"), F.struct("pos", "sub"))
-    return events.groupBy("file").agg(F.max_by(F.col("kind") == "say", at).alias("assistant_last"))
+def read_all(spark: SparkSession, sources: Iterable[Source]) -> tuple[DataFrame, DataFrame]:
+    """Events of all sources, and (source, error) of those that can't be read: these add no events."""
+    found, failed = [], []
+    for s in sources:
+        try:
+            found.append(s.events())
+        except PySparkException as e:
+            failed.append((s.name, str(e).partition("\n")[0]))
+    errors = spark.createDataFrame(failed, "source string, error string")
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], EVENTS)), errors

@@ -1,82 +1,152 @@
-"""Streams over immutable segments of the event log, each with the result of its batch twin."""
+"""Streams over immutable segments of the log, each with the result of its batch twin.
+
+Sinks write each micro-batch to a folder of its own, ``batch=<id>``: a batch that is run again after a
+failure replaces what it wrote, and a reader never sees a table being rewritten.  State ends with the
+watermark; what has no end (counts, last speakers) is kept in the sink and merged when it is read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loglathe.operators.analytics import session_state
 from loglathe.scratch import new_path
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet segments in the folder ``path``, or of the one file there."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
-        folder, _, name = path.rpartition("/")
-        return stream.option("pathGlobFilter", name).parquet(folder)
-    return stream.parquet(path)
+def segments(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """A stream of the Parquet segments in a folder."""
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def tailed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the JSON lines in a folder's segments, (file, pos, value, file_ts), for the batch
+    readers of ``sources``.  A shipper writes segments of whole lines; a torn line is no JSON and is
+    left out until it comes whole."""
+    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
+    lines = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("file_ts"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return lines.select("file", F.col("line").cast("long").alias("pos"), "value", "file_ts")
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run an appending stream over what is there, into a table; its checkpoint makes batches and
-    rows commit together."""
-    spark = stream.sparkSession
-    out, marks = new_path(spark, name), new_path(spark, f"{name}-marks")
+def appended(stream: DataFrame, out: str, marks: str) -> None:
+    """Run an appending stream over the segments that are there into a table; its checkpoint commits
+    rows and position together."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
 
 
-def served(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream over what is there; each batch replaces the serving table."""
-    spark = stream.sparkSession
-    out, marks = new_path(spark, name), new_path(spark, f"{name}-marks")
+def in_batches(stream: DataFrame, out: str, marks: str, shape: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+    """The same, each batch through ``shape`` into its own folder."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        rows = shape(batch, batch_id) if shape else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", marks).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def replayed(rows: Iterable[DataFrame], run: Callable[[DataFrame, str, str], None], name: str) -> str:
+    """Write ``rows`` segment by segment and let ``run(stream, out, marks)`` take up each from its
+    checkpoint.  Gives ``out``."""
+    out = marks = folder = ""
+    for part in rows:
+        spark = part.sparkSession
+        if not out:
+            folder, out, marks = (new_path(spark, f"{name}-{x}") for x in ("segments", "table", "marks"))
+        part.write.mode("append").parquet(folder)
+        run(segments(spark, folder, part.schema), out, marks)
+    return out
+
+
+def cut(rows: DataFrame, n: int = 3) -> list[DataFrame]:
+    """``rows`` (ts) in ``n`` segments of equal time; nulls go with the first."""
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if lo is None:
+        return [rows]
+    at = F.coalesce(F.floor((F.unix_micros("ts") - lo) * n / (hi - lo + 1)), F.lit(0))
+    return [rows.where(at == i) for i in range(n)]
 
 
 def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Late or repeated rows are harmless: each (session, uid) passes once within the watermark."""
+    """Repeated rows are harmless: each (session, uid) passes once within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "uid"])
 
 
-def settled_turns(events: DataFrame, quiet: str = "20 seconds") -> DataFrame:
-    """Bursts of a session that ``quiet`` ends, with their rows."""
-    g = events.groupBy("session", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n"))
+def only_new(out: str) -> Callable[[DataFrame, int], DataFrame]:
+    """A shape for ``in_batches``: rows that no earlier batch wrote, however late they come."""
+
+    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = batch.dropDuplicates(["session", "uid"])
+        if batch_id == 0:
+            return rows
+        done = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+        return rows.join(done.where(F.col("batch") < batch_id).select("session", "uid"), ["session", "uid"], "left_anti").select(*batch.columns)
+
+    return shape
+
+
+def settled_turns(events: DataFrame, quiet: str = "20 seconds", late: str = "1 minute") -> DataFrame:
+    """Bursts of a session that ``quiet`` has ended, with their rows: each comes once, when the
+    watermark has passed its end, and its state goes."""
+    g = events.withWatermark("ts", late).groupBy("session", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n"))
     return g.select("session", F.col("w.start").alias("started"), F.col("w.end").alias("settled"), "n")
 
 
-def unread_counts(events: DataFrame) -> DataFrame:
-    return events.where(F.col("kind").isin("prompt", "say", "fail")).groupBy("session").agg(F.count("*").alias("unread"))
+def unread_counts(batch: DataFrame, marks: DataFrame) -> DataFrame:
+    """(session, unread) of one batch: shown rows after the session's read mark (session, seen)."""
+    shown = batch.where(F.col("kind").isin("prompt", "say", "fail")).join(marks, "session").where(F.col("ts") > F.col("seen"))
+    return shown.groupBy("session").agg(F.count("*").alias("unread"))
+
+
+def summed(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of all batches."""
+    return spark.read.schema("session long, unread long").parquet(out).groupBy("session").agg(F.sum("unread").alias("unread"))
+
+
+def last_words(batch: DataFrame, batch_id: int = 0) -> DataFrame:
+    """(session, uid, ts, kind) of one batch: the rows that can decide a session's state, which are its
+    first and last one and the last that somebody said."""
+    at = F.struct("ts", "uid", "kind")
+    said = F.when(F.col("kind").isin("say", "prompt"), at)
+    g = batch.groupBy("session").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.max(said).alias("c"))
+    return g.select("session", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("x")).where("x is not null").select("session", "x.uid", "x.ts", "x.kind")
+
+
+def live_states(spark: SparkSession, out: str, as_of: Column) -> DataFrame:
+    """Each session's state at ``as_of``, from what ``last_words`` kept of all batches: sessions grow
+    quiet without a row, so a state is judged when it is asked for."""
+    return session_state(spark.read.schema("session long, uid long, ts timestamp, kind string").parquet(out), as_of)
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """(session, call, result): a call takes the session's next row if that is a result, also when
-    it comes in a later batch: the open call is kept as state."""
+def folded(rows: DataFrame, late: str = "1 day", keep_days: float = 1) -> DataFrame:
+    """(session, call_id, call, result): a call takes the next row of its id (uid, ts, is_call) if that
+    is a result, also when it comes in a later batch: an open call is state of its session and id,
+    until the watermark is ``keep_days`` behind it.  Rows of one id come in order of their segments."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        open_call = state.get[0] if state.exists else -1
-        found = []
-        for r in pd.concat(list(frames)).sort_values(["ts", "uid"]).itertuples():
-            if r.is_call:
-                open_call = int(r.uid)
-            else:
-                if open_call >= 0:
-                    found.append((key[0], open_call, int(r.uid)))
-                open_call = -1
-        state.update((open_call,))
-        yield pd.DataFrame(found, columns=["session", "call", "result"])
-
-    return rows.groupBy("session").applyInPandasWithState(run, "session long, call long, result long", "open_call long", "append", "NoTimeout")
-
-
-def enriched(events: DataFrame, gists: DataFrame) -> DataFrame:
-    """Stream-static join: each batch sees the summaries that are there by then."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "uid"])
+        calls, uids = rows["is_call"].tolist(), rows["uid"].astype("int64").tolist()
+        if state.exists:
+            calls, uids = [True, *calls], [state.get[0], *uids]
+        found = [(key[0], key[1], a, b) for a, b, x, y in zip(uids, uids[1:], calls, calls[1:], strict=False) if x and not y]
+        if calls[-1]:
+            state.update((uids[-1],))
+            end = int(rows["ts"].max().timestamp() * 1000 + keep_days * 86_400_000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=["session", "call_id", "call", "result"])
+
+    out = "session long, call_id string, call long, result long"
+    return rows.withWatermark("ts", late).groupBy("session", "call_id").applyInPandasWithState(run, out, "open_call long", "append", "EventTimeTimeout")
+
+
+def swept(events: DataFrame, gists: DataFrame) -> DataFrame:
+    """Stream-static join on ``hash``: each batch sees the summaries that are there by then."""
     return events.join(gists, "hash", "left")
