@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglathe.scratch import new_path
+
 #: The word pattern of the operators, in Java's and Python's syntax.  ``bytes.split()`` of a
 #: UTF-8 text gives the same words, as it splits at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,19 +30,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; an own one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: this cuts the
     lineage, so a lost executor does not repeat what is before it."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,6 +42,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(spark: SparkSession, items: int | None, most: int) -> int:
+    """Buckets for ``items`` things of which one task takes about ``most``, and no fewer than the
+    shuffle partitions: a task's share doesn't grow with the input."""
+    return max(partitions(spark), -(-(items or 0) // most))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts hold at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` from here on, so a
     task's memory doesn't grow with the texts; a smaller setting of the session stays."""
@@ -72,6 +69,25 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Rows of one key from which ``joined_by`` deals it over several tasks.
+HOT_ROWS = 1000
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: list[str], salt_by: list[str], name: str) -> DataFrame:
+    """Inner join with ``right``, one row a key, in which no key is one task's: a key with more than
+    ``HOT_ROWS`` rows of ``left`` is dealt by ``salt_by`` over that many parts, and its row of
+    ``right`` is given to each.  ``left`` is read twice."""
+    hot = left.groupBy(*key).agg(F.count("*").alias("salts")).where(F.col("salts") > HOT_ROWS).withColumn("salts", F.ceil(F.col("salts") / HOT_ROWS).cast("int"))
+    hot = stored(hot, f"{name}-hot")
+    if not hot.limit(1).count():
+        return left.join(right, key)
+    hot = bounded_broadcast(hot, 1_000_000)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("salts")
+    given = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(given, [*key, "salt"]).drop("salt")
+
+
 def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, text): the id (null: last) and a hash of the text.  Rows alike in both are one
     document that was given more than once."""

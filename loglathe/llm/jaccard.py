@@ -16,16 +16,22 @@ filters:
 
 First each member is compared with its group's first and each group with one hub of its lists (that
 with most lists in common), again and again with other hubs while this brings links; components are
-formed from the links.  Then the lists are read once more, expanded to members, and every pair that the filters admit and whose members are not
-yet in one component is verified.  So no link between components is lost, and pairs inside a large
-group of near copies are not enumerated.
+formed from the links.  What they leave is found by a last pass over the lists, in which the members
+of a group that are in one component stand as one entry.  Every pair of entries of different
+components that the filters admit is verified by the entries' first members; pairs still apart are
+then expanded, and all pairs of their members verified.  So no link between components is lost, and
+pairs inside a large group of near copies are not enumerated.  A list of more than ``LONG`` entries
+is cut into blocks, and each two blocks are compared in a task of their own.
 
 ``op5_ngram_jaccard_join`` then counts every link of a document: other documents of a set equal to
 its own, and those of each set that links with it.  All links lie inside components, so the
 distinct sets of a component are compared each with each: a large component is dealt by size class
 and hash into blocks, and each two blocks that can hold a link meet in one task.
 
-Copies of a whole text are joined beforehand and share their class.  Nulls: a null text is empty
+Copies of a whole text are joined beforehand and share their class.  Joins on keys that can be hot
+(a text's hash, a group, a hub) are salted.  A text of any length is one task's, in memory in
+proportion to its words; extra columns are not read, whatever their names.  Ties are broken by id
+and text.  Nulls: a null text is empty
 and linked with nothing; a null id comes after all others and is the class id only of rows that
 have no other.  Rows with the same id and text are one document given several times.  An empty
 table gives an empty result.
@@ -42,12 +48,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import NULL_ID, bounded_broadcast, chunks, doc_key, freed, partitions, read_table, small_batches, stored, window_hashes, word_hashes
+from loglathe.llm.common import NULL_ID, bounded_broadcast, buckets_for, chunks, doc_key, freed, joined_by, partitions, read_table, small_batches, stored, window_hashes, word_hashes
 from loglathe.llm.components import components, joined
 
 GRAM, PERCENT = 5, 80
 SAMPLE = 1 / 3
 _FLUSH = 500_000
+#: Sampled shingles and prefix shingles that a bucket holds, about.
+BUCKET_SAMPLES, BUCKET_POSTINGS = 4_000_000, 2_000_000
+#: Entries of a list that one task compares, and of each block of a longer one.
+LONG, LIST_BLOCK = 4_000, 2_000
 #: Cells of the rarity histogram, and cells in a block of it.
 CELLS, CELL_BLOCK = 1 << 20, 1 << 14
 
@@ -161,21 +171,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, kd, content) of each row, without its text."""
+    """(doc_id, k1, k2, kd, content, bytes) of each row, without its text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     k1 = F.coalesce("doc_id", F.lit(NULL_ID))
     k2 = F.xxhash64(F.coalesce("text", F.lit("")))
-    return keyed.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.xxhash64(k1, k2).alias("kd"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content"))
+    return keyed.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.xxhash64(k1, k2).alias("kd"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored (kd, k1, k2, n, tokens) of each distinct text: tokens is null where the partner test
     excludes a link."""
-    n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
+    # A word takes about six bytes, and the copies' shingles aren't dealt, so this is rather too many.
+    n = buckets_for(docs.sparkSession, int((rows.agg(F.sum("bytes")).first()[0] or 0) * SAMPLE / 6), BUCKET_SAMPLES)
     base = doc_key(docs).select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", "text")
-    first = rows.groupBy("content").agg(F.min("k1").alias("first"))
-    copies = rows.join(first, "content").where(F.col("k1") > F.col("first")).groupBy("kd").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("content").agg(F.min("k1").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = joined_by(rows.select("content", "k1", "kd"), first, ["content"], ["kd"], "copies").where(F.col("k1") > F.col("first")).groupBy("kd").agg(F.count("*").alias("copies"))
     by_kd = lambda right: base.join(right.hint("shuffle_hash"), "kd", "left")
     dealt = by_kd(copies).mapInArrow(freed(_deal_sample(n)), _BLOCK).repartitionById(n, "bucket")
     seen = dealt.mapInArrow(freed(_twice), "kd long, recurring long, n long, sampled long")
@@ -300,36 +311,88 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000]), pa.array(votes[i : i + 50_000].astype(np.int64))], ["a", "b", "votes"])
 
 
+def _enumerated(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None = None) -> Iterator[np.ndarray]:
+    """Admitted pairs of entries (place, n, node, label) with different labels, of one block (sorted by
+    n) or of two of which the first has the smaller n; some at a time, as arrays of two rows."""
+    place, n, node, label = left
+    others = left if right is None else right
+    held, size = [], 0
+    stops = np.searchsorted(others[1], 100 * n // PERCENT, "right")
+    for k in range(len(n)):
+        own = slice(k + 1 if right is None else 0, int(stops[k]))
+        ok = _admitted(others[1][own], n[k], others[0][own], place[k]) & (others[3][own] != label[k])
+        if ok.any():
+            other = others[2][own][ok]
+            held.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])]))
+            size += len(other)
+        if size > 500_000:
+            yield np.unique(np.concatenate(held, axis=1), axis=1)
+            held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held, axis=1), axis=1)
+
+
+_ACROSS = "a long, b long, p binary, q binary"
+
+
+def _pair_rows(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, pairs.shape[1], 50_000):
+        a, b = pairs[:, i : i + 50_000]
+        none = pa.nulls(len(a), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], ["a", "b", "p", "q"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): admitted pairs of one list with different labels."""
+    """(a, b): admitted pairs of one list with different labels; of a long list (p, q): two of its
+    blocks that can hold such pairs, q empty for one block with itself."""
     found = _lists(batches)
     if found is None:
         return
-    place, n, node, label, starts = found
-    held: list[np.ndarray] = []
+    *columns, starts = found
+    n, label = columns[1], columns[3]
+    small: list[np.ndarray] = []
     size = 0
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if (label[lo:hi] == label[lo]).all():
             continue
-        for k in range(lo, hi - 1):
-            stop = lo + int(np.searchsorted(n[lo:hi], 100 * int(n[k]) // PERCENT, "right"))
-            own = slice(k + 1, stop)
-            ok = _admitted(n[own], n[k], place[own], place[k]) & (label[own] != label[k])
-            if ok.any():
-                other = node[own][ok]
-                held.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])]))
-                size += len(other)
-        if size > 500_000:
-            yield from _pairs(held)
-            held, size = [], 0
-    yield from _pairs(held)
+        if hi - lo <= LONG:
+            for pairs in _enumerated(tuple(c[lo:hi] for c in columns)):
+                small.append(pairs)
+                size += pairs.shape[1]
+                if size > 500_000:
+                    yield from _pair_rows(np.unique(np.concatenate(small, axis=1), axis=1))
+                    small, size = [], 0
+            continue
+        cuts = [slice(i, min(i + LIST_BLOCK, hi)) for i in range(lo, hi, LIST_BLOCK)]
+        for x, p in enumerate(cuts):
+            packed = [(np.stack([c[p] for c in columns]).tobytes(), b"")] if (label[p] != label[lo]).any() or x == 0 else []
+            for q in cuts[x + 1 :]:
+                if PERCENT * n[q][0] > 100 * n[p][-1]:
+                    break
+                if (label[q] != label[p][0]).any() or (label[p] != label[p][0]).any():
+                    packed.append((np.stack([c[p] for c in columns]).tobytes(), np.stack([c[q] for c in columns]).tobytes()))
+            for i in range(0, len(packed), 50):
+                some = packed[i : i + 50]
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(c, pa.binary()) for c in zip(*some, strict=True)]], ["a", "b", "p", "q"])
+    if small:
+        yield from _pair_rows(np.unique(np.concatenate(small, axis=1), axis=1))
+
+
+def _blocks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of a long list."""
+    for batch in batches:
+        for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True):
+            left, right = (tuple(np.frombuffer(x, np.int64).reshape(4, -1)) for x in (p, q))
+            for pairs in _enumerated(left, right if q else None):
+                yield from _pair_rows(pairs)
 
 
-def _pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if held:
-        pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-        for i in range(0, pairs.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 50_000]), pa.array(pairs[1, i : i + 50_000])], ["a", "b"])
+def across(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of all lists."""
+    found = stored(lists.mapInArrow(freed(_across), _ACROSS), "across")
+    long = found.where("p is not null").select("p", "q").repartition(partitions(lists.sparkSession)).mapInArrow(freed(_blocks_met), _ACROSS)
+    return stored(found.where("p is null").unionByName(long).select("a", "b").distinct(), "pairs")
 
 
 # --- 3. verification
@@ -350,7 +413,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("kd")).distinct(), "ends")
     sets = sets.join(bounded_broadcast(ends, 1_000_000), "kd", "left_semi")
     side = lambda k, t: sets.select(F.col("kd").alias(k), F.col("tokens").alias(t))
-    return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").mapInArrow(freed(_linked), "a long, b long")
+    left = joined_by(pairs, side("b", "tb"), ["b"], ["a"], "hubs")
+    return left.join(side("a", "ta"), "a").mapInArrow(freed(_linked), "a long, b long")
 
 
 def _group_ids(levels) -> object:
@@ -380,18 +444,19 @@ def links(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     live = stored(sets.where(F.col("tokens").isNotNull()), "live")
     levels = spark.sparkContext.broadcast(rarity(live))
-    n = partitions(spark)
+    postings = live.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0]
+    n = buckets_for(spark, int(postings or 0), BUCKET_POSTINGS)
+    lists_of = lambda entries: entries.mapInArrow(freed(Postings(n, levels)), _POSTING).repartitionById(n, "bucket")
     groups = stored(live.select("kd", "n", "tokens").mapInArrow(freed(_group_ids(levels)), "kd long, n long, gid binary"), "groups")
-    first = groups.groupBy("gid").agg(F.min("kd").alias("first"))
-    inside = groups.join(first, "gid").where(F.col("kd") != F.col("first")).select(F.col("kd").alias("a"), F.col("first").alias("b"))
+    first = stored(groups.groupBy("gid").agg(F.min("kd").alias("first")), "first")
+    inside = joined_by(groups.select("kd", "gid"), first, ["gid"], ["kd"], "inside").where(F.col("kd") != F.col("first")).select(F.col("kd").alias("a"), F.col("first").alias("b"))
     inside = stored(inside, "tried")
     one = stored(verified(inside, live), "links")
     heads = live.join(first.select(F.col("first").alias("kd")), "kd", "left_semi").select("kd", "n", "tokens")
     tried, labels = inside, components(_edges(one))
     least = live.count() // 50
-    while True:  # until hubs bring links for few sets only: what they leave, the pairs below find
-        lists = _labelled(heads, labels).mapInArrow(freed(Postings(n, levels)), _POSTING).repartitionById(n, "bucket")
-        votes = lists.mapInArrow(freed(_hubs), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")).join(tried, ["a", "b"], "left_anti")
+    while True:  # until hubs bring links for few sets only: what they leave, the last pass finds
+        votes = lists_of(_labelled(heads, labels)).mapInArrow(freed(_hubs), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")).join(tried, ["a", "b"], "left_anti")
         best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         best = stored(best, "tried")
         new = stored(verified(best, live), "links")
@@ -400,12 +465,48 @@ def links(sets: DataFrame) -> DataFrame:
         labels = joined(labels, _edges(new)) if found else labels
         if found <= least:
             break
-    lists = _labelled(live, labels).mapInArrow(freed(Postings(n, levels)), _POSTING).repartitionById(n, "bucket")
-    two = stored(verified(stored(lists.mapInArrow(freed(_across), "a long, b long").distinct(), "across"), live), "links")
-    labels = joined(labels, _edges(two)) if two.limit(1).count() else labels
+    members = groups.join(labels.withColumnRenamed("u", "kd"), "kd", "left").select("kd", "gid", F.coalesce("label", "kd").alias("label"))
+    members = stored(members, "members")
+    entries = stored(members.groupBy("gid", "label").agg(F.min("kd").alias("head"), F.count("*").alias("size")), "entries")
+    heads = live.select("kd", "n", "tokens").join(entries.select(F.col("head").alias("kd"), "label"), "kd")
+    pairs = across(lists_of(heads.select(F.col("kd").alias("node"), "label", "n", "tokens")))
+    labels = _with_links(labels, verified(pairs, live))
+    apart = _apart(pairs, entries, labels)
+    if apart.limit(1).count():
+        labels = _with_links(labels, verified(_expanded(apart, entries, members), live))
     return labels.select(F.col("u").alias("kd"), "label")
 
 
+def _with_links(labels: DataFrame, found: DataFrame) -> DataFrame:
+    found = stored(found, "links")
+    return joined(labels, _edges(found)) if found.limit(1).count() else labels
+
+
+def _apart(pairs: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of entries (a, b) whose heads are still in different components and which have more
+    members than these."""
+    size = stored(entries.where("size > 1").select("head"), "large")
+    label = labels.select(F.col("u").alias("head"), "label")
+    now = pairs
+    for k in ("a", "b"):
+        side = label.select(F.col("head").alias(k), F.col("label").alias(f"l{k}"))
+        more = size.select(F.col("head").alias(k), F.lit(True).alias(f"m{k}"))
+        now = now.join(side, k, "left").join(more, k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
+    return stored(now.where("la <> lb and (ma or mb)").select("a", "b"), "apart")
+
+
+def _expanded(apart: DataFrame, entries: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a member of the one entry and a member of the other."""
+    wanted = apart.select(F.explode(F.array("a", "b")).alias("head")).distinct()
+    some = entries.join(wanted, "head", "left_semi").select("gid", "label", "head")
+    held = stored(joined_by(members, some, ["gid", "label"], ["kd"], "held").select("head", "kd"), "held")
+    both = apart
+    for k in ("a", "b"):
+        both = both.join(held.select(F.col("head").alias(k), F.col("kd").alias(f"k{k}")), k)
+    both = both.where("ka <> a or kb <> b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return stored(both.distinct(), "expanded")
+
+
 # --- 4. numbers of links
 
 
@@ -545,7 +646,7 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     nodes = nodes.join(least, "label").select(F.col("kd").alias("rep"), "n", F.col("first.k1").alias("c1"), F.col("first.kd").alias("ckd"))
     reps = rows.groupBy("content").agg(F.min(F.struct("k1", "k2", "kd")).alias("x")).select("content", F.col("x.kd").alias("rep"))
     reps = stored(reps.join(nodes, "rep"), "reps")
-    out = rows.join(reps, "content")
+    out = joined_by(rows.drop("bytes"), reps, ["content"], ["kd"], "classes")
     empty = F.col("n") == 0
     least_id = F.when(F.col("c1") != NULL_ID, F.col("c1"))
     out = out.select("doc_id", "kd", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(least_id).alias("component_id"), F.when(empty, F.col("kd")).otherwise(F.col("ckd")).alias("component_kd"), "rep")

@@ -7,20 +7,26 @@ with a smaller id, or earlier in the same document.  Windows are judged on the i
    equal windows have equal anchors at equal places, and a document has one anchor for about seven
    words.  Anchor hashes are dealt to buckets; a bucket keeps those found at two places or more.
 2. Confirmation.  Documents meet their recurring anchors and send the text around each, as far as
-   its windows reach, to a shard chosen by the anchor's words.  A shard counts the windows word by
-   word: those found twice are confirmed passages.
-3. Automata.  Each shard compiles its confirmed windows into Aho-Corasick automata over word
-   numbers (a new one for each ``SHARD`` texts, so memory is bounded) and streams the texts through
-   them; every match but the passage's first occurrence is a removed window.
+   its windows reach, to a shard chosen by the anchor's words.  A shard numbers the words and counts
+   the windows by a hash of their numbers: those found twice are candidates.
+3. Automata.  Each shard compiles its candidates' word sequences into Aho-Corasick automata (a new one
+   for each ``SHARD`` texts, so memory is bounded) and streams the texts through them.  The automata
+   locate every occurrence: the first of each passage stays, every other is a removed window.
+
+Only the text around recurring anchors is streamed: no other place can hold a window that recurs, as
+equal windows have equal anchors.  The number of shards grows with the measured bytes of these texts
+and the number of anchor buckets with the input, so that a task's share doesn't.
 
 An anchor at more than ``HOT`` places is dealt over several shards by document.  Such a shard
 reports the first occurrence of each of its windows as well, and a last step keeps only the
-earliest of these.  Copies of a whole text are not searched: all but the one with the least id
-lose every word that a window covers.
+earliest of these.  Copies of a whole text are not searched: each window of a copy also starts in the
+one with the least id, so all but that one lose every word that a window covers.
 
 Nulls: a null text has no words; rows without an id come after all others.  Rows with the same id
 and text are one document given several times: each gets its result.  Rows with the same id and
-different texts are ordered by a hash of the text.  An empty table gives an empty result.
+different texts are ordered by a hash of the text, so there are no ties.  A very long text is one
+task's, in memory in proportion to its words.  Extra columns stay as they are, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglathe.llm.common import NULL_ID, chunks, doc_key, freed, partitions, read_table, small_batches, utf8, window_hashes, word_hashes
+from loglathe.llm.common import NULL_ID, buckets_for, chunks, doc_key, freed, joined_by, partitions, read_table, small_batches, stored, utf8, window_hashes, word_hashes
 
 WINDOW, GRAM = 20, 8
 _REACH = WINDOW - GRAM + 1  # anchors to choose from in a window
 HOT = 4096
 SHARD = 8_000
+#: Anchors in a bucket and bytes of text in a shard, about.
+BUCKET_ANCHORS, SHARD_BYTES = 4_000_000, 64 << 20
 #: Anchors that a task gathers before it hands them on.
 _FLUSH = 500_000
 
@@ -70,11 +78,13 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(k1, k2).alias("kd"), k1.alias("k1"), k2.alias("k2"), utf8("text").alias("text"), null, row.alias("row"))
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """(kd, k1, k2) of the documents whose whole text has a smaller id elsewhere."""
-    keyed = doc_key(docs).select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", F.unhex(F.sha2("text", 256)).alias("content"))
-    first = keyed.groupBy("content").agg(F.min("k1").alias("first"))
-    return keyed.join(first, "content").where(F.col("k1") > F.col("first")).groupBy("kd", "k1", "k2").agg(F.count("*").alias("rows")).drop("rows")
+def _copies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(kd, k1, k2) of the documents whose whole text has a smaller id elsewhere, and all texts' bytes."""
+    keyed = doc_key(docs).select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", F.unhex(F.sha2("text", 256)).alias("content"), F.octet_length("text").alias("bytes"))
+    keyed = stored(keyed, "contents")
+    first = keyed.groupBy("content").agg(F.min("k1").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = joined_by(keyed.drop("bytes"), first, ["content"], ["kd"], "copies").where(F.col("k1") > F.col("first"))
+    return later.groupBy("kd", "k1", "k2").agg(F.count("*").alias("rows")).drop("rows"), keyed.agg(F.sum("bytes")).first()[0] or 0
 
 
 _BLOCK = "bucket int, kds binary, counts binary, hashes binary, starts binary, shapes binary"
@@ -192,34 +202,43 @@ def _send_texts(shards: int):
     return run
 
 
-def search(texts: list[tuple[tuple[int, int, int], int, list[bytes]]]) -> tuple[list[tuple[int, int, int]], dict]:
+def recurring_windows(coded: list[tuple[tuple, int, np.ndarray]]) -> list[tuple[int, ...]]:
+    """The word numbers of each window that is found at two places or more, and perhaps of a few others
+    that share a window's hash: the automaton finds those once only."""
+    hashes = [window_hashes(ids.astype(np.uint64) + np.uint64(1), WINDOW)[:windows] for _, windows, ids in coded]
+    text = np.repeat(np.arange(len(coded)), [len(h) for h in hashes])
+    at = np.concatenate([np.arange(len(h)) for h in hashes])
+    order = np.argsort(np.concatenate(hashes), kind="stable")
+    h = np.concatenate(hashes)[order]
+    same = h[1:] == h[:-1]
+    again = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    return list({tuple(coded[t][2][a : a + WINDOW].tolist()) for t, a in zip(text[again].tolist(), at[again].tolist(), strict=True)})
+
+
+def search(texts: list[tuple[tuple[int, int, int], int, list[bytes]]], every: bool = False) -> tuple[list[tuple[int, int, int]], dict]:
     """One automaton's work.  ``texts``: place of the first word (k1, k2, start), number of windows,
-    words.  Gives the places of removed windows, and each window's first place."""
+    words.  Gives the places of removed windows, and if ``every`` each window's first place."""
     numbers: dict[bytes, int] = {}
-    coded = [(place, windows, tuple([numbers.setdefault(w, len(numbers)) for w in words])) for place, windows, words in texts]
-    first: dict[tuple, tuple] = {}
-    again: dict[tuple, int] = {}
-    for (k1, k2, start), windows, ids in coded:
-        for i in range(windows):
-            window, place = ids[i : i + WINDOW], (k1, k2, start + i)
-            seen = first.setdefault(window, place)
-            if seen != place:
-                again.setdefault(window, len(again))
-                if place < seen:
-                    first[window] = place
+    coded = [(place, windows, np.array([numbers.setdefault(w, len(numbers)) for w in words])) for place, windows, words in texts]
+    windows = list({tuple(ids[i : i + WINDOW].tolist()) for _, n, ids in coded for i in range(n)}) if every else recurring_windows(coded)
+    if not windows:
+        return [], {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for i, window in enumerate(windows):
+        automaton.add_word(window, i)
+    automaton.make_automaton()
+    first: list[tuple[int, int, int] | None] = [None] * len(windows)
     removed = []
-    if again:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window in again:
-            automaton.add_word(window, first[window])
-        automaton.make_automaton()
-        for (k1, k2, start), _, ids in coded:
-            for end, earliest in automaton.iter(ids):
-                place = (k1, k2, start + end - WINDOW + 1)
-                if place != earliest:
-                    removed.append(place)
+    for (k1, k2, start), _, ids in coded:
+        for end, i in automaton.iter(tuple(ids.tolist())):
+            place, other = (k1, k2, start + end - WINDOW + 1), first[i]
+            if other is None:
+                first[i] = place
+            elif place != other:  # the same place can be sent for two anchors
+                removed.append(max(place, other))
+                first[i] = min(place, other)
     names = list(numbers)
-    return removed, {window: (place, names) for window, place in first.items()}
+    return removed, {window: (place, names) for window, place in zip(windows, first, strict=True)} if every else {}
 
 
 _FOUND = "route long, k1 long, k2 long, starts binary, windows binary"
@@ -250,7 +269,7 @@ def _search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             k1s, k2s, starts, windows = (arrays[c] for c in ("k1s", "k2s", "starts", "windows"))
             texts = [((int(k1s[i]), int(k2s[i]), int(starts[i])), int(windows[i]), everything[begins[i] : ends[i]].split()) for i in chosen]
-            removed, first = search(texts)
+            removed, first = search(texts, every=bool(hot))
             by_doc: dict[tuple[int, int], list[int]] = {}
             for k1, k2, start in removed:
                 by_doc.setdefault((k1, k2), []).append(start)
@@ -314,12 +333,17 @@ def found_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the whole text is a copy)."""
     n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
-    base, copies = _base(docs), _copies(docs)
+    base, (copies, size) = _base(docs), _copies(docs)
     by_kd = lambda right: base.join(right.hint("shuffle_hash"), "kd", "left")
     flagged = by_kd(copies.groupBy("kd").agg(F.count("*").alias("copies")))
-    recurring = flagged.mapInArrow(freed(_find_anchors(n)), _BLOCK).repartitionById(n, "bucket").mapInArrow(freed(_recurring), "kd long, starts binary, shapes binary, salts binary")
+    # About an anchor for 40 bytes of text.
+    buckets = buckets_for(docs.sparkSession, size // 40, BUCKET_ANCHORS)
+    recurring = flagged.mapInArrow(freed(_find_anchors(buckets)), _BLOCK).repartitionById(buckets, "bucket").mapInArrow(freed(_recurring), "kd long, starts binary, shapes binary, salts binary")
+    recurring = stored(recurring, "anchors")
+    # Four bytes of starts for each anchor, whose text has about 27 words.
+    shards = buckets_for(docs.sparkSession, (recurring.agg(F.sum(F.octet_length("starts"))).first()[0] or 0) // 4 * 170, SHARD_BYTES)
     places = recurring.groupBy("kd").agg(F.collect_list(F.struct("starts", "shapes", "salts")).alias("found"))
-    searched = by_kd(places).mapInArrow(freed(_send_texts(n)), _TEXTS).repartitionById(n, "shard").mapInArrow(freed(_search_shard), _FOUND)
+    searched = by_kd(places).mapInArrow(freed(_send_texts(shards)), _TEXTS).repartitionById(shards, "shard").mapInArrow(freed(_search_shard), _FOUND)
     resolved = searched.repartitionById(n, F.pmod(F.col("route"), F.lit(n)).cast("int")).mapInArrow(freed(_resolve), "k1 long, k2 long, starts binary")
     rows = resolved.select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", "starts").unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     found = rows.groupBy("kd").agg(F.collect_list(F.struct("k1", "k2", "starts")).alias("found"))
