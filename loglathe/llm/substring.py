@@ -202,35 +202,44 @@ def _send_texts(shards: int):
     return run
 
 
-def recurring_windows(coded: list[tuple[tuple, int, np.ndarray]]) -> list[tuple[int, ...]]:
+def recurring_windows(ids: list[int], starts: list[int], windows: list[int]) -> set[tuple[int, ...]]:
     """The word numbers of each window that is found at two places or more, and perhaps of a few others
-    that share a window's hash: the automaton finds those once only."""
-    hashes = [window_hashes(ids.astype(np.uint64) + np.uint64(1), WINDOW)[:windows] for _, windows, ids in coded]
-    text = np.repeat(np.arange(len(coded)), [len(h) for h in hashes])
-    at = np.concatenate([np.arange(len(h)) for h in hashes])
-    order = np.argsort(np.concatenate(hashes), kind="stable")
-    h = np.concatenate(hashes)[order]
+    that share a window's hash: the automaton finds those once only.  ``ids`` has all texts' words;
+    ``starts`` and ``windows`` tell where texts start and how many windows they have."""
+    hashes = window_hashes(np.array(ids, np.uint64) + np.uint64(1), WINDOW)
+    n = np.array(windows)
+    at = np.arange(n.sum()) + np.repeat(np.array(starts) - (np.cumsum(n) - n), n)
+    order = np.argsort(hashes[at], kind="stable")
+    h, at = hashes[at][order], at[order]
     same = h[1:] == h[:-1]
-    again = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    return list({tuple(coded[t][2][a : a + WINDOW].tolist()) for t, a in zip(text[again].tolist(), at[again].tolist(), strict=True)})
+    again = at[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    return {tuple(ids[a : a + WINDOW]) for a in again.tolist()}
 
 
 def search(texts: list[tuple[tuple[int, int, int], int, list[bytes]]], every: bool = False) -> tuple[list[tuple[int, int, int]], dict]:
     """One automaton's work.  ``texts``: place of the first word (k1, k2, start), number of windows,
     words.  Gives the places of removed windows, and if ``every`` each window's first place."""
     numbers: dict[bytes, int] = {}
-    coded = [(place, windows, np.array([numbers.setdefault(w, len(numbers)) for w in words])) for place, windows, words in texts]
-    windows = list({tuple(ids[i : i + WINDOW].tolist()) for _, n, ids in coded for i in range(n)}) if every else recurring_windows(coded)
-    if not windows:
+    number = numbers.setdefault
+    ids = [number(w, len(numbers)) for *_, words in texts for w in words]
+    ends = np.cumsum([len(words) for *_, words in texts]).tolist()
+    starts = [0, *ends[:-1]]
+    counts = [windows for _, windows, _ in texts]
+    if every:
+        found = {tuple(ids[a + i : a + i + WINDOW]) for a, n in zip(starts, counts, strict=True) for i in range(n)}
+    else:
+        found = recurring_windows(ids, starts, counts)
+    if not found:
         return [], {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    windows = list(found)
     for i, window in enumerate(windows):
         automaton.add_word(window, i)
     automaton.make_automaton()
     first: list[tuple[int, int, int] | None] = [None] * len(windows)
     removed = []
-    for (k1, k2, start), _, ids in coded:
-        for end, i in automaton.iter(tuple(ids.tolist())):
+    for ((k1, k2, start), _, _), a, b in zip(texts, starts, ends, strict=True):
+        for end, i in automaton.iter(tuple(ids[a:b])):
             place, other = (k1, k2, start + end - WINDOW + 1), first[i]
             if other is None:
                 first[i] = place
