@@ -12,7 +12,8 @@ below the cut are taken whole once more, and documents in the slice at the cut g
 of their words, rounded down at a seeded offset.  So a source's words are within a few of its
 target, at any size, without sorting a source's documents in one task.
 
-Nulls: a null source is a source, a null text has no words, a null id hashes as an empty string.
+A row's text of any length is only counted; extra columns stay, whatever their names.  Nulls: a null
+source is a source, a null text has no words, a null id hashes as an empty string.
 Repeated rows are taken alike, each row on its own.  A source without words has target 0.  An
 empty table gives an empty result.
 """
@@ -100,9 +101,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each row once for each whole repetition that it gets, and once more if
-    it gets a fraction that holds half of its words or all of them.  Rows of sources whose target
-    is below their size can drop out."""
+    """The mixture itself: each row once for each whole repetition that it gets, and once more if its
+    slice is below the cut; rows in the slice at the cut come once more with the probability of the
+    slice's part, by their seeded draw.  Rows of sources whose target is below their size can drop
+    out."""
     names = docs.columns
     planned = bounded_broadcast(stored(plan(stored(sized(docs), "sizes")), "mix-plan"), 100_000)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("source"), words_in(F.col("text")).alias("size"))
