@@ -9,11 +9,15 @@ search serves all of them.
 
 A text's cross-entropy is the mean over its characters, words and edges; the least wins.  ``score``
 is its share among the languages' likelihoods, tempered by ``SHARPNESS`` and the length.  A text is
-``rejected`` if its cross-entropy passes ``REJECT`` times the ``QUANTILE`` of its language's training
-texts; the prediction is given all the same.
-
-Nulls: a null text, or one without a letter, is ``und`` with score 0.  Without training rows every
-text is ``und``.  Repeated rows get equal results.
+``rejected`` if its cross-entropy passes ``REJECT`` times the ``QUANTILE`` of its language's
+calibration texts: a fifth of the sample, scored by models fitted on the rest.  The final models are
+fitted on the whole sample; a language without calibration texts rejects none.  The prediction is
+given all the same.
+
+Nulls: a null text, or one without a letter, is ``und`` with score 0.  Without training rows, or of
+an empty table, every text is ``und``.  Repeated rows get equal results, and of languages with equal
+cross-entropy the first by name wins.  Long texts are scored whole, in batches of bounded bytes.
+Columns besides ``doc_id``, ``text`` and ``lang`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from loglathe.llm.common import bounded_broadcast, chunks, crc_mod, freed, read_table, small_batches, utf8
 
 FOLDS, HELD_OUT = 3, 1
+#: One in so many sampled documents calibrates the rejection.
+CALIBRATION = 5
 ORDER = 4
 PER_LANGUAGE = 400
 SHARPNESS = 0.5
@@ -151,11 +157,11 @@ def fit(counts: dict[str, Counter]) -> Models:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.update((lang, w) for w in words_of(text))
+        for lang, aside, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "aside", "text")], strict=True):
+            counts.update((lang, aside, w) for w in words_of(text))
     if counts:
-        langs, words = zip(*counts, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "word", "c"])
+        langs, aside, words = zip(*counts, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(aside), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "aside", "word", "c"])
 
 
 class Scorer:
@@ -187,35 +193,41 @@ class Scorer:
 
 
 def sample_of(docs: DataFrame) -> DataFrame:
-    """(lang, text) of about PER_LANGUAGE training documents of each language."""
+    """(lang, text, aside) of about PER_LANGUAGE training documents of each language; those set aside
+    calibrate."""
     own = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
     share = own.groupBy("lang").agg((F.lit(PER_LANGUAGE * 1_000_000) / F.count("*")).alias("share"))
     share = bounded_broadcast(share, 10_000)
-    return own.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", utf8("text").alias("text"))
+    return own.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", utf8("text").alias("text"), (F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(CALIBRATION)) == 0).alias("aside"))
 
 
 def train(docs: DataFrame) -> Models | None:
     small_batches(docs.sparkSession)
     sample = sample_of(docs).persist()
     try:
-        rows = sample.mapInArrow(freed(_count_words), "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")).collect()  # a bounded sample's words
+        words = sample.mapInArrow(freed(_count_words), "lang string, aside boolean, word binary, c long").groupBy("lang", "aside", "word").agg(F.sum("c").alias("c"))
+        fitted: dict[str, Counter] = defaultdict(Counter)
         counts: dict[str, Counter] = defaultdict(Counter)
-        for r in rows:
-            counts[r.lang][bytes(r.word)] = r.c
+        for r in words.collect():  # a bounded sample's words
+            counts[r.lang][bytes(r.word)] += r.c
+            if not r.aside:
+                fitted[r.lang][bytes(r.word)] += r.c
         if not counts:
             return None
         models = fit(counts)
-        shared = sample.sparkSession.sparkContext.broadcast(models)
+        trial = fit(fitted) if fitted else models
+        shared = sample.sparkSession.sparkContext.broadcast(trial)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(shared.value)
+            own = shared.value
+            scorer = Scorer(own)
             for batch in chunks(batches):
                 found = scorer.entropies([words_of(t) for t in batch.column("text").to_pylist()])
-                rows = [(lang, float(e[shared.value.languages.index(lang)])) for lang, e in zip(batch.column("lang").to_pylist(), found, strict=True) if e is not None]
+                rows = [(lang, float(e[own.languages.index(lang)])) for lang, e in zip(batch.column("lang").to_pylist(), found, strict=True) if e is not None and lang in own.languages]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "e"])
 
-        limits = sample.mapInArrow(freed(run), "lang string, e double").groupBy("lang").agg(F.percentile("e", QUANTILE / 100).alias("q")).collect()
+        limits = sample.where("aside").mapInArrow(freed(run), "lang string, e double").groupBy("lang").agg(F.percentile("e", QUANTILE / 100).alias("q")).collect()
         for r in limits:
             models.limits[models.languages.index(r.lang)] = REJECT * r.q
         return models
