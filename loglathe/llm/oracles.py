@@ -108,3 +108,31 @@ maximal AS (SELECT * FROM fulls f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHE
 rendered AS (SELECT conv_id, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY pos) AS chat FROM numbered GROUP BY conv_id)
 SELECT m.conv_id, CAST(n_turns AS BIGINT) AS n_turns, n_copies, CAST(length(chat) AS BIGINT) AS n_chars, sha256(chat) AS chat_sha256 FROM maximal m JOIN rendered r USING (conv_id)
 """
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase, count(*) AS f FROM placed, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM grams WHERE k >= 2 AND f >= 10),
+inside AS (SELECT lang, array_to_string(ws[j:j+1], ' ') AS phrase, max(a) AS best FROM cand, (SELECT unnest([1, 2]) AS j) WHERE k = 3 GROUP BY ALL),
+stay AS (SELECT c.* FROM cand c LEFT JOIN inside i ON c.k = 2 AND c.lang = i.lang AND c.phrase = i.phrase WHERE i.best IS NULL OR 100 * i.best < 50 * c.a),
+cuts AS (SELECT s.lang, s.phrase, s.a, cut, x.f AS l, y.f AS r, CAST(1000000 * CAST(s.a AS HUGEINT) * s.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM stay) s
+  JOIN grams x ON x.lang = s.lang AND x.phrase = array_to_string(s.ws[1:cut], ' ') JOIN grams y ON y.lang = s.lang AND y.phrase = array_to_string(s.ws[cut+1:], ' ')),
+least_cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least_cut) JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH lines AS (SELECT rid, doc_id, text, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM
+  (SELECT rid, doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM
+    (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+held AS (SELECT key, max(coalesce(doc_id, 9223372036854775807)) AS last_id FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT (coalesce(doc_id, 9223372036854775807), text)) >= 5),
+judged AS (SELECT l.*, h.key IS NOT NULL AND coalesce(doc_id, 9223372036854775807) < last_id AS gone FROM lines l LEFT JOIN held h USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY rid
+"""

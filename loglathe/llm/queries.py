@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import bpe, chat, jaccard, language, media, mixing, oracles, quality, substring, toxicity, wordpiece
+from loglathe.llm import bpe, chat, collocations, jaccard, language, linededup, media, mixing, oracles, quality, substring, toxicity, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         toxicity.op8_toxicity,
         language.op9_language_id,
         chat.op10_chat_formatting,
+        whitening.op11_embedding_whitening,
+        collocations.op12_phrase_collocations,
+        linededup.op13_line_dedup,
     ]
     return {f.__name__: f for f in found}
 
@@ -32,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": oracles.op4_sql(),
         "op7_mixing_sources": oracles.op7_sql(),
         "op10_chat_formatting": oracles.OP10_SQL,
+        "op12_phrase_collocations": oracles.OP12_SQL,
+        "op13_line_dedup": oracles.OP13_SQL,
     }
