@@ -42,6 +42,8 @@ from loglathe.llm.common import buckets_for, chunks, freed, read_table, small_ba
 
 LEAST, INSIDE_PERCENT, TOP = 10, 50, 2000
 PATH_EDGES = 1000
+#: A language's candidates are ranked in so many parts first.
+RANK_PARTS = 64
 #: Edges of a bucket and words of the sample, about.
 BUCKET_EDGES, SAMPLE_WORDS = 1_500_000, 4_000_000
 #: Nodes that can be dealt over several buckets, at most about (their list goes to every task).
@@ -332,9 +334,9 @@ def nodes_of(flows: DataFrame) -> DataFrame:
     return flows.where("kind = 'node'").groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
 
 
-def candidates(flows: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, a, ab, bc): phrases of three words and of two (w3 null) that are in no longer
-    candidate with ``INSIDE_PERCENT`` of their occurrences; ``ab`` and ``bc`` count a long one's nodes."""
+def candidates(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Phrases of three words (lang, w1, w2, w3, a, ab, bc), with the counts of their nodes, and phrases
+    of two (lang, w1, w2, a) that are in no longer one with ``INSIDE_PERCENT`` of their occurrences."""
     chains = stored(paths(flows), "phrase-paths")
     edge = chains.select("lang", F.explode("edges").alias("e"))
     long = edge.select("lang", "e.w1", "e.w2", "e.w3", F.col("e.f").alias("a"), F.col("e.tail_f").alias("ab"), F.col("e.head_f").alias("bc"))
@@ -344,9 +346,9 @@ def candidates(flows: DataFrame) -> DataFrame:
     inner = F.transform(F.slice(e, 1, n - 1), lambda x, i: place(x["w2"], x["w3"], F.greatest(x["f"], F.get(e, i + 1)["f"])))
     ends = F.array(place(first["w1"], first["w2"], first["f"]), place(last["w2"], last["w3"], last["f"]))
     met = chains.select("lang", F.explode(F.concat(inner, ends)).alias("p")).select("lang", "p.*").groupBy("lang", "w1", "w2").agg(F.max("best").alias("best"))
-    short = nodes_of(flows).join(met, ["lang", "w1", "w2"], "left").where(F.col("best").isNull() | (100 * F.col("best").cast("decimal(20,0)") < INSIDE_PERCENT * F.col("f").cast("decimal(20,0)")))
-    none = F.lit(None).cast("long")
-    return long.unionByName(short.select("lang", "w1", "w2", none.alias("w3"), F.col("f").alias("a"), none.alias("ab"), none.alias("bc")))
+    rare = F.col("best").isNull() | (100 * F.col("best").cast("decimal(20,0)") < INSIDE_PERCENT * F.col("f").cast("decimal(20,0)"))
+    short = nodes_of(flows).join(met, ["lang", "w1", "w2"], "left").where(rare)
+    return long, short.select("lang", "w1", "w2", F.col("f").alias("a"))
 
 
 _SCORED = "lang string, phrase string, a long, l long, r long, score long"
@@ -375,13 +377,20 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     flows = counted(docs)
-    rows = candidates(flows)
     words = flows.where("kind = 'word'")
-    for i in (1, 2, 3):
-        rows = rows.join(words.select("lang", F.col("w1").alias(f"w{i}"), F.col("f").alias(f"f{i}"), F.col("word").alias(f"t{i}")), ["lang", f"w{i}"], "left" if i == 3 else "inner")
-    scored = rows.mapInArrow(freed(_scored), _SCORED)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+
+    def told(rows: DataFrame, places: tuple[int, ...]) -> DataFrame:
+        for i in places:
+            rows = rows.join(words.select("lang", F.col("w1").alias(f"w{i}"), F.col("f").alias(f"f{i}"), F.col("word").alias(f"t{i}")), ["lang", f"w{i}"])
+        return rows
+
+    long, short = candidates(flows)
+    rows = told(long, (1, 2, 3)).unionByName(told(short, (1, 2)), allowMissingColumns=True)
+    scored = rows.mapInArrow(freed(_scored), _SCORED).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    best = scored
+    for by in (["lang", "part"], ["lang"]):  # a language's first ones are among the first of its parts
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     n = flows.where("kind = 'total'").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
