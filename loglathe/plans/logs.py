@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.operators.fold import folded, to_events
+from loglathe.operators.archive import resume
+from loglathe.operators.fold import events_of, folded
 from loglathe.plans.registry import _clip, _flat, query
-from loglathe.sources import lines, records
+from loglathe.schema import PARSER_VERSION
+from loglathe.scratch import new_path
+from loglathe.sources import lines, ranges, records
 from loglathe.sources.blocks import normalise_blocks
 from loglathe.sources.rollouts import normalise_rollout
 from loglathe.sources.views import as_of, conversation_events
@@ -90,19 +95,60 @@ def _kept(events: DataFrame) -> DataFrame:
 
 @query(_BLOCK_SQL)
 def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(to_events(folded(normalise_blocks(block_lines(spark, sf_dir))), "blocks"))
+    return _kept(events_of(normalise_blocks(block_lines(spark, sf_dir)), "blocks"))
+
+
+def _put(table: pa.Table) -> pa.Table:
+    """One session's lines as a file of its own, the last one torn."""
+    path = table.column("folder")[0].as_py() + f"/{table.column('file')[0].as_py()}.jsonl"
+    rows = table.sort_by("pos").column("value").to_pylist()
+    store, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with store.open_output_stream(inner) as f:
+        f.write("".join(r + "\n" for r in rows).encode() + b'{"type": "user", "mess')
+    return pa.table({"path": [path]})
+
+
+def written(rows: DataFrame) -> str:
+    """The lines (file, pos, value) as a folder of files, which a transcript's program would write."""
+    spark = rows.sparkSession
+    root = new_path(spark, "transcripts")
+    spark.createDataFrame([("",)], "x string").coalesce(1).write.text(root)  # makes the folder, in any store
+    local = "/" + root[5:].lstrip("/") if root.startswith("file:") else root
+    rows.select("file", "pos", "value", F.lit(local).alias("folder")).groupBy("file").applyInArrow(_put, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file", lines.stem_of(F.col("file")))
 
 
 @query("SELECT CAST(session AS VARCHAR) AS file, arg_max(kind = 'say', seq) FILTER (kind IN ('say', 'prompt')) AS assistant_last FROM ev_conv WHERE trim(raw) <> '' GROUP BY session")
 def last_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.last_speaker(normalise_blocks(block_lines(spark, sf_dir)))
+    """From the last bytes of each file."""
+    files = lines.manifest(spark, written(block_lines(spark, sf_dir)))
+    return _named(lines.last_speaker(normalise_blocks(ranges.tails(files))))
 
 
 @query("SELECT CAST(session AS VARCHAR) AS file, '/w/' || session || '/' || min(seq) AS cwd, arg_min('b' || seq, seq) FILTER (seq % 3 <> 0) AS branch FROM ev_conv GROUP BY session")
 def first_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first records of each file."""
     branch = F.when(F.col("seq") % 3 == 0, "HEAD").otherwise(F.concat(F.lit("b"), F.col("seq").cast("string")))
     value = F.to_json(_obj(cwd=F.concat_ws("/", F.lit("/w"), "session", "seq"), gitBranch=branch))
-    return lines.first_facts(_json_lines(conversation_events(spark, sf_dir), value))
+    files = lines.manifest(spark, written(_json_lines(conversation_events(spark, sf_dir), value)))
+    return _named(lines.first_facts(ranges.heads(files)))
+
+
+@query(_BLOCK_SQL)
+def resumed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read twice: as they were when they were half as long (where that falls into a line, the line
+    waits), and from that read's cursor on.  Both reads' rows together give the events of a whole read."""
+    files = lines.manifest(spark, written(block_lines(spark, sf_dir)))
+    zero = F.lit(0).cast("long").alias("start")
+    first = ranges.planned(files.select("path", "mtime", F.floor(F.col("bytes") / 2).alias("bytes"), zero))
+    kept = first.select(lines.stem_of(F.col("path")).alias("session"), F.col("stop").cast("string").alias("cursor"), F.lit(PARSER_VERSION).alias("parser_version"))
+    again = ranges.planned(resume(files, kept, PARSER_VERSION))
+    rows = ranges.read_ranges(first).unionByName(ranges.read_ranges(again))
+    return _kept(events_of(normalise_blocks(rows), "blocks"))
 
 
 def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

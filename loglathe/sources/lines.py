@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Columns of a normalised row: events, and tool results (kind ``result``) that ``operators.fold``
 #: joins to their calls; ``hint`` is a result's few words.
@@ -24,8 +23,9 @@ def manifest(spark: SparkSession, root: str, dated: bool = False) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value, file_ts) of every line, in an order that holds within a file."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path)
+    """(file, pos, value, file_ts) of every line, in an order that holds within a file, by Spark's own text
+    reader.  A file that can't be read is an error here; ``ranges`` tells files apart."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
     order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return df.select(F.col("_metadata.file_path").alias("file"), order.alias("pos"), "value", F.col("_metadata.file_modification_time").alias("file_ts"))
 
@@ -66,18 +66,17 @@ def shaped(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[(columns[c] if c in columns else F.col(c) if c in rows.columns else empty[c]).alias(c) for c in ROW])
 
 
-def first_facts(lines: DataFrame, dated: bool = False) -> DataFrame:
-    """(file, cwd, branch) from a file's beginning: the first of each in 400 records, or in the layout
-    by dates from the first announcement in 40.  ``HEAD`` is no branch."""
-    n = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
-    v = F.col("v")
-    rows = lines.withColumn("n", n).where(F.col("n") <= (40 if dated else 400)).withColumn("v", F.try_parse_json("value"))
+def first_facts(head: DataFrame, dated: bool = False) -> DataFrame:
+    """(file, cwd, branch) from the first records of each file (``ranges.heads``): the first of each that
+    there is, or in the layout by dates those of the first announcement.  ``HEAD`` is no branch."""
+    n, v = F.col("pos.line"), F.col("v")
+    rows = head.withColumn("v", F.try_parse_json("value"))
     cwd, branch = (string_of(v, p) for p in (("payload.cwd", "payload.git.branch") if dated else ("cwd", "gitBranch")))
     branch = F.when(~branch.isin("", "HEAD"), branch)
     if dated:
-        meta = F.when(string_of(v, "type") == "session_meta", F.col("n"))
+        meta = F.when(string_of(v, "type") == "session_meta", n)
         return rows.groupBy("file").agg(F.min_by(cwd, meta).alias("cwd"), F.min_by(branch, meta).alias("branch"))
-    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("n")))
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), n))
     return rows.groupBy("file").agg(first(cwd).alias("cwd"), first(branch).alias("branch"))
 
 

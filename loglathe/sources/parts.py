@@ -25,6 +25,13 @@ def part_table(parts: DataFrame, messages: DataFrame) -> DataFrame:
     return p.join(m, "message")
 
 
+def parts_since(joined: DataFrame, marks: DataFrame) -> DataFrame:
+    """Joined parts from each session's mark (session, updated) on, that time included; null marks and
+    sessions without one take all."""
+    at = marks.groupBy("session").agg(F.max("updated").alias("mark"))
+    return joined.join(at, "session", "left").where(F.col("mark").isNull() | (F.col("updated") >= F.col("mark"))).drop("mark")
+
+
 def high_water(joined: DataFrame) -> DataFrame:
     """(session, updated): where the next read of each session begins."""
     return joined.groupBy("session").agg(F.max("updated").alias("updated"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
@@ -11,11 +11,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.operators.fold import folded, to_events
-from loglathe.schema import EVENTS
+from loglathe.operators.archive import resume
+from loglathe.operators.fold import events_of
+from loglathe.schema import EVENTS, PARSER_VERSION
+from loglathe.sources import ranges
 from loglathe.sources.blocks import normalise_blocks
-from loglathe.sources.lines import first_facts, last_speaker, manifest, read_lines, stem_of
-from loglathe.sources.parts import high_water, normalise_parts, part_table
+from loglathe.sources.lines import first_facts, last_speaker, manifest
+from loglathe.sources.parts import high_water, normalise_parts, part_table, parts_since
 from loglathe.sources.rollouts import announced, normalise_rollout
 
 
@@ -30,10 +32,25 @@ class Source(Protocol):
     def facts(self) -> DataFrame:
         """(path, cwd, branch, assistant_last)."""
 
-    def events(self) -> DataFrame:
+    def plan(self, sessions: DataFrame | None = None) -> DataFrame | None:
+        """What a read takes of each file, from its session's cursor on; None without files."""
+
+    def events(self, plan: DataFrame | None = None) -> DataFrame:
         """Rows of ``schema.EVENTS``."""
 
 
+def _planned(manifest: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """All bytes of the files, or those behind the cursors of sessions (session, cursor, parser_version)."""
+    files = manifest.withColumn("start", F.lit(0).cast("long")) if sessions is None else resume(manifest, sessions, PARSER_VERSION)
+    return ranges.planned(files)
+
+
+def _facts(manifest: DataFrame, normalise: Callable[[DataFrame], DataFrame], dated: bool) -> DataFrame:
+    """From the beginning and the end of each file only."""
+    ends = last_speaker(normalise(ranges.tails(manifest)))
+    return first_facts(ranges.heads(manifest, dated), dated).join(ends, "file", "left").withColumnRenamed("file", "path")
+
+
 @dataclass(frozen=True)
 class BlockLogs:
     """Format 1 below a folder: one folder a project, one file a session."""
@@ -46,11 +63,14 @@ class BlockLogs:
         return manifest(self.spark, self.root)
 
     def facts(self) -> DataFrame:
-        lines = read_lines(self.spark, self.root)
-        return first_facts(lines).join(last_speaker(normalise_blocks(lines)), "file", "left").withColumnRenamed("file", "path")
+        return _facts(self.manifest(), normalise_blocks, dated=False)
+
+    def plan(self, sessions: DataFrame | None = None) -> DataFrame:
+        return _planned(self.manifest(), sessions)
 
-    def events(self) -> DataFrame:
-        return to_events(folded(normalise_blocks(read_lines(self.spark, self.root))), self.name)
+    def events(self, plan: DataFrame | None = None) -> DataFrame:
+        lines = ranges.read_ranges(self.plan() if plan is None else plan)
+        return events_of(normalise_blocks(lines), self.name)
 
 
 @dataclass(frozen=True)
@@ -65,14 +85,16 @@ class Rollouts:
         return manifest(self.spark, self.root, dated=True)
 
     def facts(self) -> DataFrame:
-        lines = read_lines(self.spark, self.root)
-        return first_facts(lines, dated=True).join(last_speaker(normalise_rollout(lines)), "file", "left").withColumnRenamed("file", "path")
+        return _facts(self.manifest(), normalise_rollout, dated=True)
 
-    def events(self) -> DataFrame:
-        lines = read_lines(self.spark, self.root)
-        rows = folded(normalise_rollout(lines), orphans=False)
-        named = rows.drop("session").join(announced(lines), "file", "left")
-        return to_events(named.withColumn("session", F.coalesce("session", stem_of(F.col("file")))), self.name)
+    def plan(self, sessions: DataFrame | None = None) -> DataFrame:
+        """With the session that a file announces in its first records, as a read may start behind it."""
+        plan = _planned(self.manifest(), sessions)
+        return plan.join(announced(ranges.heads(plan.where("error is null"), dated=True)), "path", "left")
+
+    def events(self, plan: DataFrame | None = None) -> DataFrame:
+        lines = ranges.read_ranges(self.plan() if plan is None else plan)
+        return events_of(normalise_rollout(lines), self.name, orphans=False)
 
 
 @dataclass(frozen=True)
@@ -95,8 +117,16 @@ class PartTables:
         s = self.sessions.select(F.col("id").alias("path"), F.col("directory").alias("cwd"), F.lit(None).cast("string").alias("branch"))
         return s.join(last, "path", "left")
 
-    def events(self) -> DataFrame:
-        return to_events(folded(normalise_parts(part_table(self.parts, self.messages))), self.name)
+    def plan(self, sessions: DataFrame | None = None) -> None:
+        return None
+
+    def events(self, plan: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
+        """All events, or those of parts that came or changed since the marks (session, updated): the
+        mark's own millisecond is read again, and sessions without a mark are read whole."""
+        joined = part_table(self.parts, self.messages)
+        if since is not None:
+            joined = parts_since(joined, since)
+        return events_of(normalise_parts(joined), self.name)
 
     def marks(self) -> DataFrame:
         """(session, updated): where the next read begins."""
@@ -104,12 +134,16 @@ class PartTables:
 
 
 def read_all(spark: SparkSession, sources: Iterable[Source]) -> tuple[DataFrame, DataFrame]:
-    """Events of all sources, and (source, error) of those that can't be read: these add no events."""
-    found, failed = [], []
+    """Events of all sources, and (source, path, error) of what can't be read: a file that can't be opened
+    adds no events and stops no other file, and so does a source."""
+    found, failed, files = [], [], []
     for s in sources:
         try:
-            found.append(s.events())
+            plan = s.plan()
+            found.append(s.events(plan))
+            if plan is not None:
+                files.append(plan.where("error is not null").select(F.lit(s.name).alias("source"), "path", "error"))
         except PySparkException as e:
-            failed.append((s.name, str(e).partition("\n")[0]))
-    errors = spark.createDataFrame(failed, "source string, error string")
+            failed.append((s.name, None, str(e).partition("\n")[0]))
+    errors = reduce(DataFrame.unionByName, files, spark.createDataFrame(failed, "source string, path string, error string"))
     return reduce(DataFrame.unionByName, found, spark.createDataFrame([], EVENTS)), errors

@@ -23,12 +23,12 @@ def injected(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.startswith(x) for x in INJECTED]) | (text.startswith("<") & F.contains(text, F.lit("_context>")))
 
 
-def announced(lines: DataFrame) -> DataFrame:
-    """(file, session) of the files that announce one: the last announcement counts for all rows, as
-    a reader that starts in the middle of a file would give rows before it no session."""
+def announced(head: DataFrame) -> DataFrame:
+    """(path, session) of the files that announce one in their first records: the last of these
+    announcements counts for all rows, as a read that starts in the middle of a file has none."""
     v = F.col("v")
-    rows = parsed(lines).where(string_of(v, "type") == "session_meta")
-    return rows.groupBy("file").agg(F.max_by(string_of(v, "payload.id"), "pos").alias("session"))
+    rows = parsed(head).where(string_of(v, "type") == "session_meta")
+    return rows.groupBy(F.col("file").alias("path")).agg(F.max_by(string_of(v, "payload.id"), "pos").alias("session"))
 
 
 def carried_sessions(lines: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def carried_sessions(lines: DataFrame) -> DataFrame:
 
 
 def normalise_rollout(lines: DataFrame) -> DataFrame:
-    """Rows of ``lines.ROW``: messages, calls and their outputs, in one pass.  The session is the
-    file's; join ``announced`` where files have other names than their sessions.  An output fails
-    if it speaks of an error."""
+    """Rows of ``lines.ROW``: messages, calls and their outputs, in one pass.  The session is that of the
+    lines if they have one, else the file's.  An output fails if it speaks of an error."""
     v = F.col("v")
+    session = F.coalesce("session", stem_of(F.col("file"))) if "session" in lines.columns else stem_of(F.col("file"))
     rows = parsed(lines).where(string_of(v, "type") == "response_item")
     item, role = string_of(v, "payload.type"), string_of(v, "payload.role")
     kind = (
@@ -56,7 +56,7 @@ def normalise_rollout(lines: DataFrame) -> DataFrame:
         "pos",
         "ts",
         "ts_missing",
-        stem_of(F.col("file")).alias("session"),
+        session.alias("session"),
         kind.alias("kind"),
         F.coalesce(string_of(v, "payload.id"), call, F.lit("")).alias("uid"),
         F.coalesce(F.when(kind == "tool", F.coalesce(call, string_of(v, "payload.id"))).when(kind == "result", call), F.lit("")).alias("call_id"),
