@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loglathe.functions.text import clip, flatten, preview
 from loglathe.schema import OPENING, PROMPT_LIMIT, PROSE_LIMIT
 
+UNLIMITED = 2**31 - 1
+
 
 def prose_gist(text: Column) -> tuple[Column, Column]:
     """(gist, gist_src) of prose of block records: judged as written, opened as plain prose."""

@@ -99,7 +99,8 @@ def note_text(line: str | Column) -> Column:
 
 def note_lines(gist: str | Column) -> Column:
     """The lines below a gist's headline as (note, rank, text)."""
-    lines = F.slice(F.split(_c(gist), "\n"), 2, 1_000_000)
+    split = F.split(_c(gist), "\n")
+    lines = F.slice(split, F.lit(2), F.size(split))
     mark = lambda r: F.when(r == 0, "alert").when(r == 2, "link").otherwise("info")
     return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.struct(mark(note_rank(x)).alias("note"), note_rank(x).alias("rank"), note_text(x).alias("text")))
 
@@ -115,7 +116,7 @@ def tidy(answer: str | Column) -> Column:
     unmarked one below the headline."""
     lines = F.filter(F.transform(F.split(F.trim(_c(answer)), "\n"), F.trim), lambda x: (x != "") & (_clean(note_text(x)) != ""))
     head = clip(_clean(note_text(F.element_at(lines, 1))), 140)
-    below = F.slice(lines, 2, 1_000_000)
+    below = F.slice(lines, F.lit(2), F.size(lines))
     marked = lambda x: x.rlike("^[!⚠·*•→>-]")
     stop = F.array_position(F.transform(below, marked), False)
     below = F.slice(below, 1, F.least(F.lit(3), F.when(stop > 0, stop - 1).otherwise(F.size(below))).cast("int"))

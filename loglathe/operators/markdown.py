@@ -40,39 +40,36 @@ BLOCKS = (
 )
 
 
+#: A fenced block, which an open fence ends with the text, or else a line: each match is a block.
+_FENCE = r"[^\S\n]*+(```|~~~)[^\n]*+"
+_MATCH = rf"(?md)^{_FENCE}(?:\z|\n(?s:.*?)(?:^[^\S\n]*+\1[^\n]*+$|\z))|^[^\n]*+$"
+
+
 def blocks(text: Column) -> Column:
     """An array of (block_type, depth, text), one for each line and one for each fenced block, whose
-    fences are left out; an open one ends with the text."""
-    lines = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
-    none = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("code"), F.array().cast("array<struct<fenced: boolean, line: string>>").alias("out"))
-    row = lambda fenced, line: F.array(F.struct(F.lit(fenced).alias("fenced"), line.alias("line")))
-    no_code = F.array().cast("array<string>")
-
-    def read(s: Column, line: Column) -> Column:
-        mark = F.substring(F.ltrim(line), 1, 3)
-        opens = (s.fence == "") & mark.isin("```", "~~~")
-        closes = (s.fence != "") & (mark == s.fence)
-        fence = F.when(opens, mark).when(closes, F.lit("")).otherwise(s.fence)
-        code = F.when(opens | closes, no_code).when(s.fence != "", F.concat(s.code, F.array(line))).otherwise(s.code)
-        out = F.when(closes, F.concat(s.out, row(True, F.array_join(s.code, "\n")))).when((s.fence == "") & ~opens, F.concat(s.out, row(False, line))).otherwise(s.out)
-        return F.struct(fence.alias("fence"), code.alias("code"), out.alias("out"))
+    fences are left out; an open one ends with the text.  One search of the text finds all."""
+    found = F.regexp_extract_all(F.regexp_replace(text, r"\n\z", ""), F.lit(_MATCH), F.lit(0))
+    return F.transform(F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(found), _block)
 
-    def end(s: Column) -> Column:
-        return F.when(s.fence != "", F.concat(s.out, row(True, F.array_join(s.code, "\n")))).otherwise(s.out)
 
-    return F.transform(F.aggregate(lines, none, read, end), _block)
+def _code(block: Column) -> Column:
+    """What stands between the fences."""
+    lines = F.split(block, "\n")
+    n, trimmed = F.size(lines), F.regexp_replace(F.element_at(lines, -1), r"^\s+", "")
+    closed = (n > 1) & F.startswith(trimmed, F.regexp_extract(block, "^" + _FENCE, 1))
+    return F.array_join(F.slice(lines, F.lit(2), F.greatest(F.when(closed, n - 2).otherwise(n - 1), F.lit(0))), "\n")
 
 
 def _block(x: Column) -> Column:
-    line = F.rtrim(x.line)
-    kind = F.when(x.fenced, "code")
+    line = F.rtrim(x)
+    kind = F.when(x.rlike("^" + _FENCE), "code")
     for name, pattern in BLOCKS:
         kind = kind.when(line.rlike(pattern), name)
     kind = kind.otherwise("para")
     inner = lambda name: F.regexp_extract(line, dict(BLOCKS)[name], 1)
     indent = F.octet_length(F.regexp_extract(line, r"^(\s*)", 1))
     depth = F.when(kind == "heading", F.length(F.regexp_extract(line, r"^\s*(#+)", 1))).when(kind == "bullet", F.floor(indent / 2)).otherwise(0)
-    text = F.when(kind == "code", x.line).when(kind.isin("blank", "rule"), "").when(kind == "heading", F.trim(inner("heading"))).when(kind == "bullet", inner("bullet")).when(kind == "quote", inner("quote")).otherwise(line)
+    text = F.when(kind == "code", _code(x)).when(kind.isin("blank", "rule"), "").when(kind == "heading", F.trim(inner("heading"))).when(kind == "bullet", inner("bullet")).when(kind == "quote", inner("quote")).otherwise(line)
     return F.struct(kind.alias("block_type"), depth.cast("long").alias("depth"), text.alias("text"))
 
 
@@ -106,7 +103,7 @@ def document_lines(feed: DataFrame, sessions: DataFrame) -> DataFrame:
     split = F.split("gist", "\n")
     outcome = F.coalesce(F.concat(F.lit("  — "), "outcome"), F.lit(""))
     first = F.concat(F.lit("- `"), clock("ts"), F.lit("` **"), speaker(F.col("kind"), F.col("tool"), F.col("agent")), F.lit("** "), F.element_at(split, 1), outcome)
-    notes = F.transform(F.slice(split, 2, 1_000_000), lambda x: F.concat(F.lit("    "), F.trim(x)))
+    notes = F.transform(F.slice(split, F.lit(2), F.size(split)), lambda x: F.concat(F.lit("    "), F.trim(x)))
     bullets = rows.select("session", F.col("seq").cast("long").alias("seq"), F.posexplode(F.concat(F.array(first), notes)).alias("part", "line"))
     return opening.unionByName(bullets)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglathe.functions.gists import line, with_gists
+from loglathe.functions.gists import UNLIMITED, line, with_gists
 from loglathe.functions.text import between, slash_command
 from loglathe.functions.tools import result_hint, tool_body, tool_line
 from loglathe.schema import PROSE_LIMIT
@@ -87,7 +87,7 @@ def normalise_blocks(lines: DataFrame) -> DataFrame:
     fixed = (
         F.when(piece == "compact", line(F.col("text"), 1000))
         .when(kind == "note", line(summary, PROSE_LIMIT))
-        .when(kind == "prompt", F.when(slash_command("said").isNotNull(), line(slash_command("said"), 100_000)))
+        .when(kind == "prompt", F.when(slash_command("said").isNotNull(), line(slash_command("said"), UNLIMITED)))
         .when(kind == "tool", line(tool_line(F.col("tool"), F.col("given"))))
         .when(kind == "result", line(F.col("body"), 90))
     )
