@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,12 +12,14 @@ from loglathe.functions.text import ago, byte_size, seconds_between, tilde
 
 
 def search(events: DataFrame, query: str, kinds: list[str], order: list[Column], limit: int = 200) -> DataFrame:
-    """The first ``limit`` rows by ``order`` whose text holds ``query`` literally, in any case."""
+    """The first ``limit`` rows by ``order`` whose text, or summary if they have one, holds ``query``
+    literally, in any case."""
     query = query.strip()
     if not query or not kinds:
         return events.limit(0)
-    hit = F.contains(F.lower("raw"), F.lit(query.lower()))
-    return events.where(F.col("kind").isin(*kinds) & hit).orderBy(*order).limit(limit)
+    columns = [c for c in ("gist", "raw") if c in events.columns]
+    hits = [F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False)) for c in columns]
+    return events.where(F.col("kind").isin(*kinds) & reduce(lambda a, b: a | b, hits)).orderBy(*order).limit(limit)
 
 
 def grouped_hits(hits: DataFrame, order: list[Column]) -> DataFrame:
@@ -54,6 +58,11 @@ def spent(gists: DataFrame) -> DataFrame:
     return gists.agg(F.count("*").alias("calls"), F.coalesce(F.sum("tok_in"), F.lit(0)).alias("tok_in"), F.coalesce(F.sum("tok_out"), F.lit(0)).alias("tok_out"))
 
 
+def session_tokens(events: DataFrame) -> DataFrame:
+    """(session, tokens, rows): what a session's rows spent."""
+    return events.groupBy("session").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+
+
 def table_counts(**tables: DataFrame) -> DataFrame:
     """(name, rows) of each table."""
     out = None

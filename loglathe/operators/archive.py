@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loglathe.schema import SCHEMA_VERSION, require_version
+from loglathe.scratch import new_path
 
 
 def assign_seq(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
@@ -87,6 +88,32 @@ def reparsed(events: DataFrame, sessions: DataFrame, fresh: DataFrame, parser_ve
     return events.join(old, "session", "left_anti").unionByName(fresh.join(old, "session", "left_semi").select(*events.columns))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("session").cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_buckets(events: DataFrame, path: str, buckets: int) -> None:
+    """The event table with a folder for each bucket of sessions."""
+    events.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
+
+
+def rewrite_stale(spark: SparkSession, path: str, sessions: DataFrame, fresh: DataFrame, parser_version: int, buckets: int) -> None:
+    """Put the rows of ``fresh`` in the place of stale sessions' in a table of ``write_buckets``.  Only the
+    folders with stale sessions are read and written; their new rows are kept aside first, as a table
+    can't be written while it is read."""
+    old = stale(sessions, parser_version).select(F.col("id").alias("session")).withColumn("bucket", _bucket(buckets))
+    touched = [r[0] for r in old.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    events = spark.read.parquet(path)
+    kept = events.where(F.col("bucket").isin(touched)).join(old.select("session"), "session", "left_anti")
+    new = fresh.join(old.select("session"), "session", "left_semi").withColumn("bucket", _bucket(buckets))
+    aside = new_path(spark, "reparsed")
+    kept.unionByName(new.select(*kept.columns)).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(aside)
+    rows = spark.read.schema(events.schema).parquet(aside)
+    rows.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def described(manifest: DataFrame, facts: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Facts of every file of ``manifest``: the kept ones where path, time and size are as they were,
     else ``describe`` of the changed files, which gives the columns of ``facts``."""
@@ -105,10 +132,16 @@ def save_gists(answers: DataFrame, model: str, created: Column) -> DataFrame:
     return answers.where(F.col("gist") != "").select("hash", "gist", F.lit(model).alias("model"), created.alias("created"), F.col("tok_in").cast("long").alias("tok_in"), F.col("tok_out").cast("long").alias("tok_out"))
 
 
+def forgotten(hashes: DataFrame, created: Column) -> DataFrame:
+    """Rows for the log that take the gists of (hash) back: their texts are pending again."""
+    none = F.lit(None)
+    return hashes.select("hash", none.cast("string").alias("gist"), none.cast("string").alias("model"), created.alias("created"), none.cast("long").alias("tok_in"), none.cast("long").alias("tok_out"))
+
+
 def current_gists(log: DataFrame) -> DataFrame:
-    """The newest gist of each hash in the append-only log."""
+    """The newest gist of each hash in the append-only log; none of hashes that were forgotten since."""
     newest = F.struct("created", "gist", "model", "tok_in", "tok_out")
-    return log.groupBy("hash").agg(F.max(newest).alias("g")).select("hash", "g.gist", "g.model", "g.created", "g.tok_in", "g.tok_out")
+    return log.groupBy("hash").agg(F.max(newest).alias("g")).select("hash", "g.gist", "g.model", "g.created", "g.tok_in", "g.tok_out").where("gist is not null")
 
 
 def merge_sessions(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loglathe.functions.identity import content_hash, label, needs_model
 from loglathe.functions.secrets import secret_type
 from loglathe.functions.text import deflected, flatten, preview, prompt_body, tidy
+from loglathe.operators.archive import current_gists, save_gists
 from loglathe.schema import PROSE_LIMIT
 
 CLAIM_SECONDS = 90
@@ -67,6 +68,14 @@ def condense(work: DataFrame, condenser: Callable[[list[str]], list[str]] = open
     return out.where(~deflected("answer")).select("hash", tidy("answer").alias("gist"), "tok_in", "tok_out")
 
 
+def work_queue(events: DataFrame, order: list[str], log: DataFrame, in_flight: DataFrame, as_of: Column, model: str, condenser: Callable[[list[str]], list[str]] = opening_sentence) -> DataFrame:
+    """One round of condensation, as rows for the log of gists: settled prose that needs a summary, holds
+    no secret, has none in ``log`` and isn't claimed by another run goes through the condenser, each
+    content once."""
+    work = pending(settled(events, order, as_of), current_gists(log), in_flight, as_of)
+    return save_gists(condense(work, condenser), model, as_of)
+
+
 def with_gists(events: DataFrame, gists: DataFrame) -> DataFrame:
     """Events with their summaries by content hash; a text that holds a secret is withheld and
     never takes one.  A summary is joined, not stored, so forgetting one needs no update."""

@@ -80,9 +80,9 @@ def origins(events: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("caption", before.isNull() | (before != F.col("session"))).drop("day", "before", "prior")
 
 
-def visible(events: DataFrame, thinking: bool = False, tools: bool = False) -> DataFrame:
-    """Rows shown in the feed; failures always are."""
-    hidden = [k for k, on in (("think", thinking), ("tool", tools)) if not on]
+def visible(events: DataFrame, thinking: bool = False, tools: bool = False, archive: bool = False) -> DataFrame:
+    """Rows shown: failures always in the feed, but in the archive only with tools."""
+    hidden = [k for k, on in (("think", thinking), ("tool", tools), ("fail", tools or not archive)) if not on]
     return events.where(~F.col("kind").isin(*hidden)) if hidden else events
 
 

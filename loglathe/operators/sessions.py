@@ -22,6 +22,12 @@ def by_prefix(sessions: DataFrame, prefix: str, order: list[Column]) -> DataFram
     return sessions.where(F.startswith(F.col("id").cast("string"), F.lit(prefix))).orderBy(*order).limit(1)
 
 
+def narrowed(sessions: DataFrame, text: str) -> DataFrame:
+    """Sessions with ``text`` in their project, tag or source, in any case."""
+    hits = [F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(text.strip().lower())), F.lit(False)) for c in ("project", "tag", "source")]
+    return sessions.where(hits[0] | hits[1] | hits[2])
+
+
 def default(sessions: DataFrame, here: Column, order: list[Column]) -> DataFrame:
     """The session to open: the first by ``order`` where ``here`` holds, else the first of all."""
     return sessions.orderBy(F.desc(F.coalesce(here, F.lit(False))), *order).limit(1)

@@ -9,7 +9,7 @@ from loglathe.functions import text as t
 from loglathe.functions.identity import content_hash
 from loglathe.functions.secrets import secret_type
 from loglathe.operators import analytics, archive, condense, feed, markdown
-from loglathe.plans.registry import _GISTS, _HASH, _RUNS, _TIME, _clip, _flat, _gisted, _gists, _halves, _hits, _numbered, _SEARCH, _SECRET_SQL, query
+from loglathe.plans.registry import AS_OF, _GISTS, _HASH, _RUNS, _TIME, _clip, _flat, _gisted, _gists, _halves, _hits, _numbered, _SEARCH, _SECRET_SQL, query
 from loglathe.sources.views import as_of, conversation_events, customer_sessions, log_events, order_sessions, table
 
 # --- messages
@@ -231,6 +231,24 @@ def settled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condense.settled(moved, _TIME, as_of()).select("session", "uid")
 
 
+_WORK = f"length({_flat(_PLAIN)}) > 96 AND {_SECRET_SQL} IS NULL"
+
+
+@query(f", h AS (SELECT *, raw AS text, {_HASH} AS hash, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM ev_conv) SELECT DISTINCT hash, 'Seen' AS gist, 'm' AS model, {AS_OF} AS created FROM h WHERE {_WORK} AND NOT (session % 2 = 0 AND back = 1) AND hash NOT IN (SELECT hash FROM h WHERE kind = 'prompt') AND hash NOT IN (SELECT hash FROM h WHERE session % 5 = 1)")
+def condensation_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round over all texts: prompts have gists, every fifth session's texts are claimed by another
+    run, and even sessions are still being written."""
+    e = conversation_events(spark, sf_dir)
+    ago = F.make_interval(secs=F.when(F.col("session") % 2 == 0, 10).otherwise(30))
+    last = e.groupBy("session").agg(F.max("seq").alias("last"))
+    e = e.join(last, "session").withColumn("ts", as_of() - ago - F.make_interval(mins=(F.col("last") - F.col("seq")).cast("int")))
+    hashed = e.withColumn("hash", content_hash(F.col("kind"), F.lit(None).cast("string"), F.col("raw")))
+    told = hashed.where("kind = 'prompt'").select("hash", F.lit("told").alias("gist"), F.lit(1).alias("tok_in"), F.lit(1).alias("tok_out"))
+    claims = hashed.where("session % 5 = 1").select("hash", (as_of() - F.make_interval(secs=F.lit(60))).alias("at"))
+    found = condense.work_queue(e, ["seq"], archive.save_gists(told, "m", as_of()), claims, as_of(), "m", lambda bodies: ["Seen."] * len(bodies))
+    return found.select("hash", "gist", "model", F.col("created").cast("timestamp_ntz").alias("created"))
+
+
 _PLANTED = """CASE doc_id % 13 WHEN 0 THEN 'sk-or-v1-' || sha256(k) WHEN 1 THEN 'sk-ant-api03-' || sha256(k) WHEN 2 THEN 'sk-proj-Ab' || sha256(k) WHEN 3 THEN 'ghp_' || sha256(k) WHEN 4 THEN 'glpat-' || sha256(k) WHEN 5 THEN 'xoxb-' || sha256(k)
  WHEN 6 THEN 'AKIA' || upper(left(sha256(k), 16)) WHEN 7 THEN 'AIza' || left(sha256(k), 35) WHEN 8 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 9 THEN 'a risk-adjusted-return-on-capital-2 figure of task-scheduling-and-retry-policy docs'
  WHEN 10 THEN 'sk-your-openai-api-key-goes-here, $OPENAI_API_KEY, sk-or-v1-[0-9a-f]{16,}, ghp_xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx1' WHEN 11 THEN 'ASIA' || translate(upper(left(sha256(k), 16)), '0123456789', 'QRSTUVWXYZ') ELSE 'password: "' || translate(sha256(k), '0123456789', 'QRSTUVWXYZ') || '"' END"""

@@ -82,6 +82,14 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("session", "seq", "kind", t.clip(t.flatten("raw"), 90).alias("gist"))
 
 
+@query("SELECT session, seq FROM ev_conv WHERE kind IN ('prompt', 'say') AND (contains(lower(raw), 'tion the') OR (seq % 4 = 1 AND session % 10 = 3)) ORDER BY session DESC, seq DESC LIMIT 200")
+def search_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold the words in their summary only, and rows without one."""
+    gist = F.when((F.col("seq") % 4 == 1) & (F.col("session") % 10 == 3), "Caption: The end").when(F.col("seq") % 2 == 0, "other")
+    e = conversation_events(spark, sf_dir).withColumn("gist", F.regexp_replace(gist, "^Caption:", "On caption"))
+    return analytics.search(e, "tion the", ["prompt", "say"], [F.desc("session"), F.desc("seq")]).select("session", F.col("seq").cast("long").alias("seq"))
+
+
 @query(f", hits AS (SELECT session, seq {_SEARCH}) SELECT session, seq, rank, coalesce(lag(session) OVER (ORDER BY rank) <> session, true) AS caption FROM (SELECT *, row_number() OVER (ORDER BY session DESC, seq DESC) AS rank FROM hits)")
 def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = analytics.grouped_hits(_hits(spark, sf_dir), [F.desc("session"), F.desc("seq")])
@@ -175,6 +183,17 @@ def visible_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.visible(log_events(spark, sf_dir)).select("session", "uid", "kind")
 
 
+@query("SELECT session, uid, kind FROM ev_log WHERE kind IN ('prompt', 'say', 'note')")
+def visible_archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's list hides failures with the tools."""
+    return feed.visible(log_events(spark, sf_dir), archive=True).select("session", "uid", "kind")
+
+
+@query("SELECT session, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS rows FROM ev_log GROUP BY session")
+def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.session_tokens(log_events(spark, sf_dir))
+
+
 @query("SELECT session, uid FROM ev_log WHERE contains(lower(raw), 'ew 1') OR contains(kind, 'ew 1')")
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.text_filter(log_events(spark, sf_dir), "ew 1", "raw", "kind").select("session", "uid")
@@ -347,9 +366,11 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_sessions(spark, sf_dir).groupBy("project").agg(F.count("*").alias("sessions"), F.count_if(F.col("id") % 7 == 0).alias("live"))
 
 
-@query("SELECT id, project, tag FROM ses_cust WHERE contains(lower(tag), 'auto') OR contains(CAST(project AS VARCHAR), 'auto')")
+@query("SELECT id, project, tag FROM ses_cust WHERE contains(lower(tag), 'auto') OR contains(CAST(project AS VARCHAR), 'auto') OR id % 50 = 7")
 def narrow_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.text_filter(customer_sessions(spark, sf_dir).withColumn("p", F.col("project").cast("string")), "auto", "tag", "p").drop("p")
+    """Some sessions have the word as their source."""
+    source = F.when(F.col("id") % 50 == 7, "Automation").otherwise("blocks")
+    return sessions.narrowed(customer_sessions(spark, sf_dir).withColumn("source", source), " Auto").select("id", "project", "tag")
 
 
 @query("SELECT id, tag FROM ses_cust ORDER BY project = 3 DESC, id DESC LIMIT 30")

@@ -7,9 +7,8 @@ watermark; what has no end (counts, last speakers) is kept in the sink and merge
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +24,11 @@ def segments(spark: SparkSession, folder: str, schema: T.StructType) -> DataFram
 
 def tailed(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the JSON lines in a folder's segments, (file, pos, value, file_ts), for the batch
-    readers of ``sources``.  A shipper writes segments of whole lines; a torn line is no JSON and is
-    left out until it comes whole."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
-    lines = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("file_ts"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return lines.select("file", F.col("line").cast("long").alias("pos"), "value", "file_ts")
+    readers of ``sources``.  A shipper writes segments of whole lines; large ones are split over tasks.
+    A torn line is no JSON and is left out; ``tail.grown`` reads files that grow."""
+    files = spark.readStream.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return files.select(F.col("_metadata.file_path").alias("file"), order.alias("pos"), "value", F.col("_metadata.file_modification_time").alias("file_ts"))
 
 
 def appended(stream: DataFrame, out: str, marks: str) -> None:
@@ -75,19 +74,6 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "uid"])
 
 
-def only_new(out: str) -> Callable[[DataFrame, int], DataFrame]:
-    """A shape for ``in_batches``: rows that no earlier batch wrote, however late they come."""
-
-    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
-        rows = batch.dropDuplicates(["session", "uid"])
-        if batch_id == 0:
-            return rows
-        done = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
-        return rows.join(done.where(F.col("batch") < batch_id).select("session", "uid"), ["session", "uid"], "left_anti").select(*batch.columns)
-
-    return shape
-
-
 def settled_turns(events: DataFrame, quiet: str = "20 seconds", late: str = "1 minute") -> DataFrame:
     """Bursts of a session that ``quiet`` has ended, with their rows: each comes once, when the
     watermark has passed its end, and its state goes."""
@@ -119,34 +105,3 @@ def live_states(spark: SparkSession, out: str, as_of: Column) -> DataFrame:
     """Each session's state at ``as_of``, from what ``last_words`` kept of all batches: sessions grow
     quiet without a row, so a state is judged when it is asked for."""
     return session_state(spark.read.schema("session long, uid long, ts timestamp, kind string").parquet(out), as_of)
-
-
-def folded(rows: DataFrame, late: str = "1 day", keep_days: float = 1) -> DataFrame:
-    """(session, call_id, call, result): a call takes the next row of its id (uid, ts, is_call) if that
-    is a result, also when it comes in a later batch: an open call is state of its session and id,
-    until the watermark is ``keep_days`` behind it.  Rows of one id come in order of their segments."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "uid"])
-        calls, uids = rows["is_call"].tolist(), rows["uid"].astype("int64").tolist()
-        if state.exists:
-            calls, uids = [True, *calls], [state.get[0], *uids]
-        found = [(key[0], key[1], a, b) for a, b, x, y in zip(uids, uids[1:], calls, calls[1:], strict=False) if x and not y]
-        if calls[-1]:
-            state.update((uids[-1],))
-            end = int(rows["ts"].max().timestamp() * 1000 + keep_days * 86_400_000)
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(found, columns=["session", "call_id", "call", "result"])
-
-    out = "session long, call_id string, call long, result long"
-    return rows.withWatermark("ts", late).groupBy("session", "call_id").applyInPandasWithState(run, out, "open_call long", "append", "EventTimeTimeout")
-
-
-def swept(events: DataFrame, gists: DataFrame) -> DataFrame:
-    """Stream-static join on ``hash``: each batch sees the summaries that are there by then."""
-    return events.join(gists, "hash", "left")

@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from loglathe.scratch import new_path
 from loglathe.sources.blocks import normalise_blocks
 from loglathe.streaming import jobs
@@ -19,21 +17,3 @@ def test_tail_of_text_segments(spark, tmp_path):
         (folder / f"s-{i}.jsonl").write_text(record(i) + "\n" + torn)
         jobs.appended(normalise_blocks(jobs.tailed(spark, str(folder))).select("session", "uid", "raw"), out, marks)
     assert sorted((r.uid, r.raw) for r in spark.read.parquet(out).collect()) == [(f"u{i}", f"prompt {i}") for i in range(3)]
-
-
-def test_a_batch_run_again_replaces_itself(spark):
-    rows = spark.createDataFrame([(1, 1), (1, 2)], "session long, uid long")
-    out = new_path(spark, "again")
-    shape = jobs.only_new(out)
-    for batch_id in (0, 1, 1):
-        shape(rows if batch_id == 0 else rows.union(spark.createDataFrame([(1, 3)], rows.schema)), batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    assert sorted(r.uid for r in spark.read.parquet(out).collect()) == [1, 2, 3]
-
-
-def test_an_open_call_ends(spark):
-    row = lambda uid, day, is_call: (1, "c", uid, f"2024-01-{day:02d} 00:00:00", is_call)
-    parts = [[row(1, 1, True)], [row(2, 2, False), row(3, 3, True)], [row(9, 20, True)], [(2, "x", 7, "2024-01-21 00:00:00", True)], [row(4, 22, False)]]
-    frames = [spark.createDataFrame(p, "session long, call_id string, uid long, ts string, is_call boolean").withColumn("ts", F.col("ts").cast("timestamp")) for p in parts]
-    out = jobs.replayed(frames, lambda s, o, m: jobs.appended(jobs.folded(s, keep_days=2.5), o, m), "ends")
-    got = spark.read.schema("session long, call_id string, call long, result long").parquet(out).collect()
-    assert sorted((r.call, r.result) for r in got) == [(1, 2), (9, 4)]
