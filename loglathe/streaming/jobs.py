@@ -22,15 +22,6 @@ def segments(spark: SparkSession, folder: str, schema: T.StructType) -> DataFram
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def tailed(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the JSON lines in a folder's segments, (file, pos, value, file_ts), for the batch
-    readers of ``sources``.  A shipper writes segments of whole lines; large ones are split over tasks.
-    A torn line is no JSON and is left out; ``tail.grown`` reads files that grow."""
-    files = spark.readStream.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
-    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return files.select(F.col("_metadata.file_path").alias("file"), order.alias("pos"), "value", F.col("_metadata.file_modification_time").alias("file_ts"))
-
-
 def appended(stream: DataFrame, out: str, marks: str) -> None:
     """Run an appending stream over the segments that are there into a table; its checkpoint commits
     rows and position together."""

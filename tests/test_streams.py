@@ -4,7 +4,7 @@ import json
 
 from loglathe.scratch import new_path
 from loglathe.sources.blocks import normalise_blocks
-from loglathe.streaming import jobs
+from loglathe.streaming import jobs, tail
 
 
 def test_tail_of_text_segments(spark, tmp_path):
@@ -15,5 +15,5 @@ def test_tail_of_text_segments(spark, tmp_path):
     for i in range(3):
         torn = record(i + 1)[:30] if i == 1 else ""
         (folder / f"s-{i}.jsonl").write_text(record(i) + "\n" + torn)
-        jobs.appended(normalise_blocks(jobs.tailed(spark, str(folder))).select("session", "uid", "raw"), out, marks)
+        jobs.appended(normalise_blocks(tail.grown(spark, str(folder))).select("session", "uid", "raw"), out, marks)
     assert sorted((r.uid, r.raw) for r in spark.read.parquet(out).collect()) == [(f"u{i}", f"prompt {i}") for i in range(3)]
