@@ -13,7 +13,9 @@ one row.
 
 Nulls: a null role renders as ``unknown``, a null text as empty, and neither equals the empty
 string when conversations are compared; rows without an id form one conversation.  Repeated rows
-count once; different rows with the same turn number follow one another by role and text.
+count once; different rows with the same turn number follow one another by role and text.  A very long
+text is one value of a row; a conversation is rendered in one task's memory.  Extra columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ grid of MCUs is filled up with spaces, and an APP11 segment holds the payload's
 restart interval): it parses the markers and then decodes all restart intervals of all images
 that share tables in lockstep, one coefficient of every interval at a time.
 
-Nulls and empty texts are the payload of 192 spaces.  Equal texts give equal bytes.
+Nulls and empty texts are the payload of 192 spaces.  Equal texts give equal bytes, so repeated rows and
+ties give equal results, each row its own.  A very long text is one image, decoded at once at about 31
+bytes of memory for each of its bytes.  Extra columns are not read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ q75 + ``reach`` * max(q75 - q25, slack) (below q25 likewise for the word length)
 uniform sources from rejecting at the first deviation.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups
-of their own.  Repeated rows are judged one by one.  An empty table gives an empty result.
+of their own.  Repeated rows are judged one by one; ties don't matter, as no row is ranked.  A very long text
+is measured whole, in memory in proportion to its words.  Extra columns stay, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

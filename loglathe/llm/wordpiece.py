@@ -8,7 +8,8 @@ number of tokens popped.  A word's count then takes one pass over its symbols, a
 of the links followed, and no piece is ever built.
 
 A word with a symbol outside the vocabulary counts as one unknown token.  A null text has no
-words; repeated rows give repeated results; an empty table gives an empty result.
+words; repeated rows give repeated results; an empty table gives an empty result.  A very long text or
+word takes one pass and memory in proportion to its bytes.  Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
