@@ -289,7 +289,6 @@ def counted(docs: DataFrame) -> DataFrame:
     for seed in range(100):
         hot = hot_nodes(texts, n_words, seed)
         parts = texts.mapInArrow(freed(_counted(n_buckets, hot, seed)), _PARTS)
-        parts = parts.repartition(n_buckets, "lang", "bucket")  # a task's buckets don't grow with the input
         flows = stored(parts.groupBy("lang", "bucket").applyInArrow(_flows(hot, seed), _FLOWS), "phrase-flows")
         if not flows.where("kind = 'clash'").limit(1).count():
             return flows
