@@ -46,7 +46,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, freed, read_table, small_batches, utf8
+from loglathe.llm.common import chunks, freed, read_table, release_memory, small_batches, utf8
 
 #: Most words of a worker's word cache, and bytes of a word in it; a full one is emptied.
 MOST_CACHED, LONGEST_CACHED = 150_000, 64
@@ -353,8 +353,13 @@ class Automaton:
 
 
 def load(path: str) -> tuple[list[str], list[tuple[str, str]], str, dict[str, int]]:
-    with open(path, encoding="utf-8") as f:
-        parsed = json.load(f)
+    with open(path, "rb") as f:
+        return tables(f.read())
+
+
+def tables(file: bytes) -> tuple[list[str], list[tuple[str, str]], str, dict[str, int]]:
+    """Labels, merges, the mark of a word's end and special tokens of a tokenizer's file."""
+    parsed = json.loads(file)
     special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
     vocab = parsed["model"]["vocab"] | special
     tokens = sorted(vocab, key=vocab.__getitem__)
@@ -367,30 +372,40 @@ def digest(path: str) -> str:
 
 
 @lru_cache(maxsize=4)
+def _shipped(path: str, key: str) -> tuple[bytes, Differences]:
+    """What an automaton is compiled from, the file as it is; ``key``: its digest."""
+    with open(path, "rb") as f:
+        return f.read(), unicode_differences(path)
+
+
 def _tables(path: str, key: str) -> tuple:
-    """What an automaton is compiled from; ``key``: the file's digest."""
-    return *load(path), unicode_differences(path)
+    file, differences = _shipped(path, key)
+    return *tables(file), differences
 
 
 _held: dict[str, Automaton] = {}
 
 
 def _compiled(key: str, broadcast: object) -> Automaton:
-    """The worker's one automaton, under its file's digest: later queries with that file use it."""
+    """The worker's one automaton, under its file's digest: later queries with that file use it.  The
+    tables are read from the file's bytes here and go once the automaton stands."""
     if key not in _held:
         _held.clear()
-        _held[key] = Automaton(*broadcast.value)
+        release_memory()
+        file, differences = broadcast.value
+        _held[key] = Automaton(*tables(file), differences)
+        release_memory()
     return _held[key]
 
 
 def shared(spark: SparkSession, path: str | None = None):
     """A function for tasks that gives the automaton, compiled once in each worker.  What is
-    broadcast is the vocabulary, whose size is fixed."""
+    broadcast is the vocabulary's file, whose size is fixed."""
     path = path or default_path()
     small_batches(spark)
     key = digest(path)
-    tables = spark.sparkContext.broadcast(_tables(path, key))
-    return lambda: _compiled(key, tables)
+    shipped = spark.sparkContext.broadcast(_shipped(path, key))
+    return lambda: _compiled(key, shipped)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -416,7 +431,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
         decimal = [str(i) for i in range(len(bpe.labels))]
-        for batch in chunks(batches):
+        for batch in chunks(batches, most_bytes=1 << 21):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = bpe.encode(text.decode())
