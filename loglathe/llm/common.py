@@ -48,10 +48,10 @@ def buckets_for(spark: SparkSession, items: int | None, most: int) -> int:
     return max(partitions(spark), -(-(items or 0) // most))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts hold at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` from here on, so a
+def small_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
+    """Arrow batches of texts hold at most ``BATCH_ROWS`` rows and ``most_bytes`` from here on, so a
     task's memory doesn't grow with the texts; a smaller setting of the session stays."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
         now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key).lower())
         if now is None or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loglathe.llm.common import bounded_broadcast, read_table, small_batches, stored, utf8, window_hashes
+from loglathe.llm.common import BATCH_BYTES, bounded_broadcast, read_table, small_batches, stored, utf8, window_hashes
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -199,5 +199,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage, the first: documents that the rules reject go.  All stages share the executors, so
+    their batches are smaller than those of an operator alone."""
+    small_batches(spark, BATCH_BYTES // 4)
     return kept_rows(docs)
