@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglathe.operators.pieces import running_sum
 from loglathe.schema import SCHEMA_VERSION, require_version
 from loglathe.scratch import new_path
 
@@ -16,14 +17,16 @@ from loglathe.scratch import new_path
 def assign_seq(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
     """``new`` with dense numbers that go on from each session's greatest in ``old``."""
     top = old.groupBy("session").agg(F.max("seq").alias("top"))
-    w = Window.partitionBy("session").orderBy(*order)
-    return new.join(top, "session", "left").withColumn("seq", F.row_number().over(w) - 1 + F.coalesce(F.col("top") + 1, F.lit(0))).drop("top")
+    placed = running_sum(new, ["session"], order, F.lit(1), "place")
+    return placed.join(top, "session", "left").withColumn("seq", F.col("place") + F.coalesce("top", F.lit(-1))).drop("top", "place")
 
 
 def append_events(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """The rows to add to ``old``: those of ``new`` whose (session, uid) isn't there, each once.
+    """The rows to add to ``old``: those of ``new`` whose (session, uid) isn't there, each once
+    (of rows alike in both, the earliest).
     Doing it again adds nothing."""
-    fresh = new.dropDuplicates(["session", "uid"]).join(old.select("session", "uid"), ["session", "uid"], "left_anti")
+    once = F.row_number().over(Window.partitionBy("session", "uid").orderBy(*order))  # the earliest: rows are read twice, alike
+    fresh = new.withColumn("nth", once).where("nth = 1").drop("nth").join(old.select("session", "uid"), ["session", "uid"], "left_anti")
     return assign_seq(fresh, old, order)
 
 

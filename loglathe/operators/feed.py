@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loglathe.functions.gists import prose_gist
 from loglathe.functions.identity import content_hash
+from loglathe.operators.pieces import running_sum
 
 #: Kinds that end a run of prose.
 BREAKS = ("say", "prompt", "note")
@@ -17,9 +18,7 @@ def runs(events: DataFrame, order: list[str]) -> DataFrame:
     """Prose rows with ``run``: consecutive ``say`` rows of a session share one, a prompt or note
     ends it, tools and thoughts don't.  Runs are found over the whole stream, before anything is
     hidden, so what is shown doesn't change them."""
-    w = Window.partitionBy("session").orderBy(*order)
-    rows = events.where(F.col("kind").isin(*BREAKS)).withColumn("brk", ((F.col("kind") != "say")).cast("int"))
-    return rows.withColumn("run", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sum(events.where(F.col("kind").isin(*BREAKS)), ["session"], order, (F.col("kind") != "say").cast("int"), "run")
 
 
 def fuse_turns(events: DataFrame, order: list[str]) -> DataFrame:
@@ -94,7 +93,8 @@ def text_filter(events: DataFrame, query: str, *columns: str) -> DataFrame:
 
 
 def near(events: DataFrame, hit: Column, order: list[str], reach: int = 12) -> DataFrame:
-    """Rows within ``reach`` places of a hit in their session."""
-    w = Window.partitionBy("session").orderBy(*order)
-    around = w.rowsBetween(-reach, reach)
-    return events.withColumn("near_hit", F.max(hit.cast("int")).over(around) == 1).where("near_hit").drop("near_hit")
+    """Rows within ``reach`` places of a hit in their session: each hit names the places around it."""
+    placed = running_sum(events, ["session"], order, F.lit(1), "place")
+    around = F.explode(F.sequence(F.col("place") - reach, F.col("place") + reach))
+    wanted = placed.where(hit).select(F.col("session").alias("s"), around.alias("p")).distinct()
+    return placed.join(wanted, F.col("session").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")), "left_semi").drop("place")

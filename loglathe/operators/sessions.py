@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglathe.operators.pieces import next_value, running_sum
+
 
 def span(events: DataFrame) -> DataFrame:
     """(session, first_ts, last_ts)."""
@@ -52,12 +54,10 @@ def shown_at(events: DataFrame, row_kinds: list[str], order: list[str]) -> DataF
     """``events`` with ``row``: the uid of the feed row that shows each.  A say is shown at the last
     say before the next prompt or note; any other event at the next row from it on (kinds
     ``row_kinds``, and those last says), null after the last."""
-    ordered = Window.partitionBy("session").orderBy(*order)
-    ends = F.col("kind").isin("prompt", "note")
-    rows = events.withColumn("run", F.count_if(ends).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_sum(events, ["session"], order, F.col("kind").isin("prompt", "note").cast("int"), "run")
     says = Window.partitionBy("session", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     said = F.when(F.col("kind") == "say", F.col("uid"))
     rows = rows.withColumn("fused", F.last(said, ignorenulls=True).over(says))
     is_row = F.col("kind").isin(*row_kinds) | ((F.col("kind") == "say") & (F.col("uid") == F.col("fused")))
-    after = F.first(F.when(is_row, F.col("uid")), ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("row", F.when(F.col("kind") == "say", F.col("fused")).otherwise(after)).drop("run", "fused")
+    rows = next_value(rows, ["session"], order, F.when(is_row, F.col("uid")), "after")
+    return rows.withColumn("row", F.when(F.col("kind") == "say", F.col("fused")).otherwise(F.col("after"))).drop("run", "fused", "after")
