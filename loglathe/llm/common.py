@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sort key of rows without an id: after every other row.
 NULL_ID = 2**63 - 1
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of a word up to which workers keep what they found for it.
+LONGEST_CACHED = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -41,7 +41,7 @@ ORDER = 4
 PER_LANGUAGE = 400
 SHARPNESS = 0.5
 QUANTILE, REJECT = 99.5, 1.1
-MOST_CACHED = 120_000
+MOST_CACHED, MOST_BYTES, SLICE_BYTES = 120_000, 8 << 20, 1 << 18
 UND = "und"
 
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -164,12 +164,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(aside), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "aside", "word", "c"])
 
 
+def slices(words: list[bytes]) -> Iterator[list[bytes]]:
+    """``words`` in order, some at a time: about ``SLICE_BYTES``, or one word that is longer."""
+    some, size = [], 0
+    for w in words:
+        if some and size + len(w) > SLICE_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(w)
+        size += len(w)
+    if some:
+        yield some
+
+
 class Scorer:
     """Scores texts, keeping the words met."""
 
     def __init__(self, models: Models):
         self.models = models
         self.known: dict[bytes, int] = {}
+        self.size = 0
         self.table = np.empty((0, len(models.languages) + 1))
 
     def entropies(self, texts: list[list[bytes]]) -> list[np.ndarray | None]:
@@ -179,8 +193,8 @@ class Scorer:
             self.known, self.table = {}, self.table[:0]
             new = list({w for t in texts for w in t})
         parts = [self.table]
-        for i in range(0, len(new), 20_000):
-            loss, length = self.models.words(new[i : i + 20_000])
+        for some in slices(new):
+            loss, length = self.models.words(some)
             parts.append(np.column_stack([loss, length]))
         for w in new:
             self.known[w] = len(self.known)
@@ -189,6 +203,9 @@ class Scorer:
         for t in texts:
             total = self.table[list(map(self.known.__getitem__, t))].sum(0) if t else None
             out.append(None if total is None else np.append(total[:-1] / total[-1], total[-1]))
+        self.size += sum(map(len, new))
+        if self.size > MOST_BYTES:  # long words: the next batch starts anew
+            self.known, self.table, self.size = {}, self.table[:0], 0
         return out
 
 

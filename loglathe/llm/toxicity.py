@@ -11,9 +11,14 @@ labelled or not.  Its accuracies are each source's rates of firing in toxic and
 correlations the rates given that the source it depends on most fires too: the sources form a tree
 of greatest mutual information within the classes.  Expectation maximisation starts from the labelled
 rows; in each round a labelled row counts by its label and any other by its posterior, once.  The
-posteriors by votes alone label the sample, and a logistic regression on the sources is trained on
-them; that any source votes has a weight of its own, so a rare source starts from what all of them
-tell.  Every text is scored whole, by the distinct words in it.
+posteriors by votes alone label all training documents, and a linear classifier of the text is
+trained on these soft labels: a logistic regression on the sources and on other words and beginnings
+of words, which hold no voter but stand in texts of high posterior (counted over all training
+documents, with the bounds of voters; the ``FEATURES`` with the most mass enter).  That a text has any of
+them has a weight of its own, so a rare one starts from what all of them tell.  So
+a text without a voter can be told by its other words.  Texts with the same features are one row with a
+count; each Newton step sums gradients and curvatures by feature in Spark, and only these sums come to
+the driver.  Every text is scored whole, by the distinct words in it.
 
 Inputs of a score are words only.  Nulls: a null or empty text gets the score of no votes; labels
 that are null or without a document are passed over, of several labels of one id the greatest
@@ -30,16 +35,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm.common import chunks, crc_mod, freed, read_table, small_batches, stored, utf8
+from loglathe.llm.common import LONGEST_CACHED, chunks, crc_mod, freed, read_table, small_batches, stored, utf8
 
 FOLDS = 5
 SAMPLE = 20_000
 LEAST, PRECISION, TIED = 5, 0.6, 0.9
 STEMS = (4, 5, 6, 7, 8)
 ROUNDS = 6
+#: Words beside the voters that the classifier takes at most, its steps, and the change that ends them.
+FEATURES, STEPS, SETTLED = 1000, 12, 1e-3
 #: Twice the log likelihood that a dependency between two sources must gain.
 EVIDENCE = 20.0
 MOST_CACHED = 120_000
@@ -97,15 +104,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def surely(p: Column, n: Column) -> Column:
+    """The lower bound of a share ``p`` of ``n`` (Wilson, z = 2)."""
+    return (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)
+
+
 def mine(sample: DataFrame) -> list[bytes]:
     """The voters: all features that toxic rows have and others hardly.  Features are counted and
     judged in Spark; only voters come to the driver."""
     n_toxic, n_other = (sample.where(F.col("toxic") == t).count() for t in (1, 0))
     found = sample.mapInArrow(freed(_count), "f binary, hits long, misses long").groupBy("f").agg(F.sum("hits").alias("c"), F.sum("misses").alias("misses"))
     found = found.where(F.col("c") >= LEAST).select("f", "c", (F.col("c") + F.col("misses")).cast("double").alias("n"))
-    n, p = F.col("n"), F.col("c") / F.col("n")
-    lower = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)  # Wilson, z = 2
-    keep = lower >= PRECISION
+    p = F.col("c") / F.col("n")
+    keep = surely(p, F.col("n")) >= PRECISION
     if n_other:
         keep |= (p * n_other > 20 * (1 - p) * n_toxic) & (F.col("c") >= 4 * LEAST)
     return [f for _, f in sorted((-r.c, bytes(r.f)) for r in found.where(keep).collect())]
@@ -118,6 +129,8 @@ class Model:
     weights: np.ndarray
     any: float
     bias: float
+    #: Features from this number on are words that aren't voters.
+    voters: int
 
     def votes(self, words: set[bytes], cache: dict[bytes, tuple[int, ...]]) -> set[int]:
         found: set[int] = set()
@@ -126,7 +139,9 @@ class Model:
             if own is None:
                 if len(cache) >= MOST_CACHED:
                     cache.clear()
-                own = cache[w] = tuple({self.source[f] for f in features_of(w) if f in self.source})
+                own = tuple({self.source[f] for f in features_of(w) if f in self.source})
+                if len(w) <= LONGEST_CACHED:
+                    cache[w] = own
             if own:
                 found.update(own)
         return found
@@ -271,7 +286,7 @@ def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.2
 
 def votes_on(docs: DataFrame, source: dict[bytes, int], *keep: str) -> DataFrame:
     """``keep`` and v, the sources that vote on a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(source, np.zeros(0), 0.0, 0.0))  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(Model(source, np.zeros(0), 0.0, 0.0, 0))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
@@ -279,27 +294,133 @@ def votes_on(docs: DataFrame, source: dict[bytes, int], *keep: str) -> DataFrame
             rows = [sorted(own.votes(words_of(t), cache)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(rows, pa.list_(pa.int32()))], [*keep, "v"])
 
-    types = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, "text").mapInArrow(freed(run), f"{types}, v array<int>")
+    types = ", ".join([*[f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep], "v array<int>"])
+    return docs.select(*keep, "text").mapInArrow(freed(run), types)
+
+
+def training_texts(docs: DataFrame) -> DataFrame:
+    return docs.where(crc_mod("doc_id", FOLDS) != 0).select("doc_id", utf8("text").alias("text"))
 
 
 def vote_patterns(docs: DataFrame, labels: DataFrame, source: dict[bytes, int]) -> DataFrame:
     """(v, toxic, times): votes on all training documents, with the label where there is one.  Only
     ids and votes are shuffled; rows without an id have no label and skip the join."""
-    own = docs.where(crc_mod("doc_id", FOLDS) != 0).select("doc_id", utf8("text").alias("text"))
+    own = training_texts(docs)
     voted = stored(votes_on(own, source, "doc_id"), "votes")
     known = voted.where("doc_id IS NOT NULL").join(training_labels(labels), "doc_id", "left").select("v", "toxic")
     unknown = voted.where("doc_id IS NULL").select("v", F.lit(None).cast("int").alias("toxic"))
     return stored(known.union(unknown).groupBy("v", "toxic").agg(F.count("*").alias("times")), "vote-patterns")
 
 
+def other_features(texts: DataFrame, by_voter: dict[bytes, int], model: LabelModel) -> list[bytes]:
+    """Features of words that hold no voter, which stand in texts of high posterior and hardly in
+    others; at most ``FEATURES``, those with the most mass."""
+    shared = texts.sparkSession.sparkContext.broadcast((Model(by_voter, np.zeros(0), 0.0, 0.0, 0), model))  # bounded by the sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters, label = shared.value
+        usual, cache, held = label.posterior(set()), {}, {}
+        quiet: Counter[bytes] = Counter()
+        mass: Counter[bytes] = Counter()
+        loud: Counter[bytes] = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = list(quiet | loud)
+            if found:
+                units = [mass[f] + round(_UNIT * usual * quiet[f]) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(units, pa.int64()), pa.array([quiet[f] + loud[f] for f in found], pa.int64())], ["f", "units", "n"])
+            for c in (quiet, mass, loud):
+                c.clear()
+
+        def of(word: bytes) -> tuple[bytes, ...]:
+            own = held.get(word)
+            if own is None:
+                own = features_of(word)
+                own = () if any(f in by_voter for f in own) else tuple(own)
+                if len(word) <= LONGEST_CACHED:
+                    if len(held) >= MOST_CACHED // 4:
+                        held.clear()
+                    held[word] = own
+            return own
+
+        for batch in chunks(batches):
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                votes = voters.votes(words, cache)
+                features = {f for w in words for f in of(w)}
+                if votes:
+                    p = round(_UNIT * label.posterior(votes))
+                    loud.update(features)
+                    for f in features:
+                        mass[f] += p
+                else:
+                    quiet.update(features)
+                if len(quiet) + len(loud) >= _FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    found = texts.select("text").mapInArrow(freed(run), "f binary, units long, n long").groupBy("f").agg((F.sum(F.col("units").cast("decimal(38,0)")) / _UNIT).cast("double").alias("c"), F.sum("n").cast("double").alias("n"))
+    p = F.least(F.col("c") / F.col("n"), F.lit(1.0))
+    found = found.where((F.col("c") >= LEAST) & (surely(p, F.col("n")) >= PRECISION)).orderBy(F.desc("c"), "f").limit(FEATURES)
+    return [bytes(r.f) for r in found.collect()]
+
+
+def sums_of(rows, model: LabelModel, voters: int, weights: np.ndarray) -> Counter:
+    """What (v, times) add to the gradient, cells (i, -1), and to the curvature, cells (i, j) with i
+    up to j.  The two weights behind the features are those of any feature and of every text."""
+    cells: Counter = Counter()
+    n = len(weights)
+    for v, times in rows:
+        votes = {i for i in v if i < voters}
+        x = [*sorted(v), *([n - 2] if v else []), n - 1]
+        p = 1 / (1 + np.exp(-np.clip(sum(weights[i] for i in x), -30, 30)))
+        slope, bend = float(times * (p - model.posterior(votes))), float(times * (p * (1 - p) + 1e-6))
+        for at, i in enumerate(x):
+            cells[i, -1] += slope
+            for j in x[at:]:
+                cells[i, j] += bend
+    return cells
+
+
+def classifier(patterns: DataFrame, model: LabelModel, voters: int, start: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights fitted to the posteriors of (v, times), the features of all training documents, by
+    Newton steps; those of any feature and of every text are hardly shrunk."""
+    w, n = start.copy(), len(start)
+    shrink = np.full(n, ridge)
+    shrink[-2:] = 0.01, 1e-6
+    for _ in range(STEPS):
+        now = w
+
+        def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            cells: Counter = Counter()
+            for batch in batches:
+                cells.update(sums_of(zip(*[c.to_pylist() for c in batch.columns], strict=True), model, voters, now))
+            if cells:
+                i, j = zip(*cells, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(cells.values(), pa.float64())], ["i", "j", "w"])
+
+        slope, bend = shrink * w, np.diag(shrink)
+        for r in patterns.mapInArrow(freed(run), "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).collect():
+            if r.j < 0:
+                slope[r.i] += r.w
+            else:
+                bend[r.i, r.j] += r.w
+                if r.i != r.j:
+                    bend[r.j, r.i] += r.w
+        step = np.linalg.solve(bend, slope)
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return w.round(6)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(docs.sparkSession)
     sample = sample_of(docs, labels).persist()
     try:
         voters = mine(sample)
         if not voters:
-            return Model({}, np.zeros(0), 0.0, -30.0)
+            return Model({}, np.zeros(0), 0.0, -30.0, 0)
         rows = votes_on(sample, {f: i for i, f in enumerate(voters)}, "toxic").groupBy("v", "toxic").agg(F.count("*").alias("times"))
         rows = sorted((r.v, r.toxic, r.times) for r in rows.collect())  # SAMPLE rows of voter numbers at most
     finally:
@@ -315,8 +436,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     by_voter = {f: int(s) for f, s in zip(voters, source, strict=True)}
     model = label_model(vote_patterns(docs, labels, by_voter), dependencies(merged, marked, times))
     post = np.array([model.posterior({int(source[j]) for j in v}) for v, *_ in rows])
-    weights, bias = logistic(np.column_stack([merged, merged.any(1)]), post, times)
-    return Model(by_voter, weights[:-1], float(weights[-1]), bias)
+    weights, bias = logistic(np.column_stack([merged, merged.any(1)]), post, times)  # where the steps begin
+    voters, own = len(weights) - 1, training_texts(docs)
+    others = other_features(own, by_voter, model)
+    features = by_voter | {f: voters + i for i, f in enumerate(others)}
+    patterns = stored(votes_on(own, features).groupBy("v").agg(F.count("*").alias("times")), "feature-patterns")
+    start = np.concatenate([weights[:-1], np.zeros(len(others)), [weights[-1], bias]])
+    weights = classifier(patterns, model, voters, start)
+    return Model(features, weights[:-2], float(weights[-2]), float(weights[-1]), voters)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

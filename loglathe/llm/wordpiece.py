@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm.bpe import byte_letters, default_path, digest, load
-from loglathe.llm.common import chunks, freed, read_table, small_batches, utf8
+from loglathe.llm.common import LONGEST_CACHED, chunks, freed, read_table, small_batches, utf8
 
 MOST_CACHED = 120_000
 _END = 256  # added to the last byte of a word
@@ -120,13 +120,13 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             rows = []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()  # of bytes: only A-Z change
-                missing = {w for w in words if w not in cache}
+                missing = {w for w in words if len(w) <= LONGEST_CACHED and w not in cache}
                 if len(cache) + len(missing) > MOST_CACHED:
                     cache.clear()
-                    missing = set(words)
+                    missing = {w for w in words if len(w) <= LONGEST_CACHED}
                 for w in missing:
                     cache[w] = automaton.word(w)
-                counts = list(map(cache.__getitem__, words))
+                counts = [cache.get(w) or automaton.word(w) for w in words]
                 rows.append((len(words), sum(counts), max(counts, default=0)))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_tokens", "most_in_word"])

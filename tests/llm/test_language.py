@@ -67,3 +67,16 @@ def test_odd_rows_and_calibration(spark):
     assert sum(x.rejected for x in out if x.doc_id is not None and x.doc_id < 240) <= 5
     assert len({(x.lang_pred, x.score) for x in out if x.doc_id == 3}) == 1
     assert language.identified(docs.limit(0), language.train(docs)).count() == 0
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    models = language.fit({"a": collections.Counter({b"abab": 3, b"aba": 1}), "b": collections.Counter({b"xyxy": 2})})
+    words = [b"abab", b"x" * 5000, b"aba", b"xy"]
+    whole = language.Scorer(models).entropies([words, []])
+    monkeypatch.setattr(language, "MOST_BYTES", 100)
+    monkeypatch.setattr(language, "SLICE_BYTES", 4)
+    scorer = language.Scorer(models)
+    for _ in range(2):
+        again = scorer.entropies([words, []])
+        assert again[0].tolist() == pytest.approx(whole[0].tolist()) and again[1] is None
+        assert not scorer.known and not len(scorer.table)
