@@ -86,41 +86,3 @@ def test_scores_of_odd_rows(spark):
     assert sorted(r.predicted for r in out) == sorted(int("vile" in (t or "")) for _, t in rows)
     assert len({r.score for r in out if r.doc_id == 0}) == 1
     assert toxicity.scored(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
-
-
-def test_classifier_against_a_dense_fit(spark):
-    r = random.Random(9)
-    model = toxicity.LabelModel([-1, -1], np.array([[3.0, 3.0], [2.0, 2.0]]), -2.0)
-    found = {}
-    for _ in range(500):
-        v = tuple(i for i in range(4) if r.random() < 0.3)  # 0 and 1 are voters
-        found[v] = found.get(v, 0) + 1
-    patterns = spark.createDataFrame([(list(v), c) for v, c in found.items()], "v array<int>, times long").repartition(3)
-    start = np.zeros(6)
-    w = toxicity.classifier(patterns, model, 2, start)
-    x = np.array([[*[float(i in v) for i in range(4)], float(bool(v)), 1.0] for v in found])
-    y, times = np.array([model.posterior({0, 1} & set(v)) for v in found]), np.array(list(found.values()))
-    shrink = np.array([1.0, 1, 1, 1, 0.01, 1e-6])
-    slope = x.T @ (times * (1 / (1 + np.exp(-x @ w)) - y)) + shrink * w
-    assert np.abs(slope).max() < 0.05
-    assert (toxicity.classifier(patterns.limit(0), model, 2, start) == 0).all()
-
-
-def test_words_that_are_no_voters_are_learned_from_posteriors(spark):
-    """Texts without labels teach words that stand beside voters; a text with no voter is told by them."""
-    r = random.Random(11)
-    plain = ["w%d" % k for k in range(80)]
-    rows = []
-    for i in range(1500):
-        toxic = i % 6 == 0
-        words = r.choices(plain, k=20) + (["vile"] if toxic else []) + (["grub"] if toxic and i >= 600 else [])
-        rows.append((i, " ".join(words)))
-    rows += [(9000, "w1 w2 grub w3"), (9001, "w1 w2 w3")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels)
-    assert model.source[b"grub"] >= model.voters > model.source[b"vile"]
-    score = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
-    assert score[9000] > 10 * score[9001]
-    again = toxicity.train(docs.repartition(5), labels)
-    assert again.source == model.source and np.abs(again.weights - model.weights).max() < 1e-4
