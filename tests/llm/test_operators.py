@@ -66,7 +66,7 @@ def test_media_round_trip(docs, rows, empty):
     assert media.describe(media.store(empty)).count() == 0
 
 
-def test_media_all_bytes_and_general_scans():
+def test_media_all_bytes():
     payloads = [bytes(range(256)) * 3, b"\xff" * 192, b"\0" * 384]
     assert [media.payload_of(*x) for x in media.decode(media.encode(payloads))] == payloads
     image, c = media.decode(media.encode(payloads[:1]))[0]
