@@ -17,9 +17,13 @@ Only the text around recurring anchors is streamed: no other place can hold a wi
 equal windows have equal anchors.  The number of shards grows with the measured bytes of these texts
 and the number of anchor buckets with the input, so that a task's share doesn't.
 
-An anchor at more than ``HOT`` places is dealt over several shards by document.  Such a shard
-reports the first occurrence of each of its windows as well, and a last step keeps only the
-earliest of these.  Copies of a whole text are not searched: each window of a copy also starts in the
+No anchor's places meet in one task.  One that a task finds ``OFTEN`` times or more among the anchors that
+it gathers recurs for certain: the task hands these places on at once, as pieces of at most about ``HOT``, and the
+anchor's bucket only learns that there are such.  A bucket does the same with what it holds when it has
+grown beyond its share.  The other places of such an anchor, and those of one at more than ``HOT`` places,
+are dealt over several shards by document too.  A shard reports the first occurrence of each window of
+dealt places as well, and a last step, in tasks by the measured number of such places, keeps only the
+earliest of these: how places are dealt doesn't change the result.  Copies of a whole text are not searched: each window of a copy also starts in the
 one with the least id, so all but that one lose every word that a window covers.
 
 Nulls: a null text has no words; rows without an id come after all others.  Rows with the same id
@@ -43,14 +47,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglathe.llm.common import NULL_ID, buckets_for, chunks, doc_key, freed, joined_by, partitions, read_table, small_batches, stored, utf8, window_hashes, word_hashes
+from loglathe.llm.common import NULL_ID, buckets_for, chunks, doc_key, freed, joined_by, read_table, small_batches, stored, utf8, window_hashes, word_hashes
 
 WINDOW, GRAM = 20, 8
 _REACH = WINDOW - GRAM + 1  # anchors to choose from in a window
-HOT = 4096
+HOT, OFTEN = 4096, 64
 SHARD = 8_000
+#: Shape of an entry that stands for places handed on elsewhere.
+_ELSEWHERE = 255
 #: Anchors in a bucket and bytes of text in a shard, about.
 BUCKET_ANCHORS, SHARD_BYTES = 4_000_000, 64 << 20
+#: Windows of dealt anchors in a task of the last step, about.
+TASK_WINDOWS = 1_000_000
 #: Anchors that a task gathers before it hands them on.
 _FLUSH = 500_000
 
@@ -87,7 +95,19 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, int]:
     return later.groupBy("kd", "k1", "k2").agg(F.count("*").alias("rows")).drop("rows"), keyed.agg(F.sum("bytes")).first()[0] or 0
 
 
-_BLOCK = "bucket int, kds binary, counts binary, hashes binary, starts binary, shapes binary"
+_BLOCK = "bucket int, kds binary, counts binary, hashes binary, starts binary, shapes binary, pieces binary"
+_RECURRING = "kd long, starts binary, shapes binary, pieces binary, dealt int"
+
+
+def _pieces(kd: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The piece of each place of dealt anchors with so many places: 1 or more."""
+    return (1 + kd % -(-sizes // HOT)).astype(np.uint32)
+
+
+def _by_document(kd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of rows of one document starts, and the runs' lengths."""
+    new = np.flatnonzero(np.concatenate([[True], kd[1:] != kd[:-1]]))
+    return new, np.diff(np.append(new, len(kd)))
 
 
 def _find_anchors(buckets: int):
@@ -98,15 +118,26 @@ def _find_anchors(buckets: int):
         def flush() -> pa.RecordBatch:
             kd = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
             hashes, starts, shapes = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            rows = []
+            anchor, group, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            often = counts >= OFTEN
+            if often.any():
+                now = often[group]
+                pieces = np.maximum(_pieces(kd[now], counts[group[now]]) + np.uint32(kd[0] & 0xFFFFFFFF), 1).astype(np.uint32)
+                new, runs = _by_document(kd[now])
+                rows.append((int(kd[0] % buckets), kd[now][new].tobytes(), runs.astype(np.uint32).tobytes(), b"", starts[now].tobytes(), shapes[now].tobytes(), pieces.tobytes()))
+                told = anchor[often]
+                kd, hashes, starts, shapes = kd[~now], np.concatenate([hashes[~now], told]), starts[~now], shapes[~now]
+                kd, starts = (np.concatenate([x, np.zeros(len(told), x.dtype)]) for x in (kd, starts))
+                shapes = np.concatenate([shapes, np.full(len(told), _ELSEWHERE, np.uint8)])
             bucket = (hashes % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[b] : cuts[b + 1]]
                 of = kd[own]
-                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                rows.append((int(b), of[new].tobytes(), np.diff(np.append(new, len(of))).astype(np.uint32).tobytes(), hashes[own].tobytes(), starts[own].tobytes(), shapes[own].tobytes()))
+                new, runs = _by_document(of)
+                rows.append((int(b), of[new].tobytes(), runs.astype(np.uint32).tobytes(), hashes[own].tobytes(), starts[own].tobytes(), shapes[own].tobytes(), b""))
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], [x.split()[0] for x in _BLOCK.split(", ")])
 
@@ -127,40 +158,78 @@ def _find_anchors(buckets: int):
     return run
 
 
+def _handed_on(kd: np.ndarray, starts: np.ndarray, shapes: np.ndarray, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Recurring anchors' places as a row for each document."""
+    if not len(kd):
+        return
+    order = np.argsort(kd, kind="stable")
+    kd, starts, shapes, pieces = kd[order], starts[order], shapes[order], pieces[order]
+    new, runs = _by_document(kd)
+    dealt = np.add.reduceat((pieces > 0).astype(np.int32), new)
+    for i in range(0, len(new), 10_000):
+        cut = [slice(a, a + n) for a, n in zip(new[i : i + 10_000].tolist(), runs[i : i + 10_000].tolist(), strict=True)]
+        columns = [pa.array(kd[new[i : i + 10_000]], pa.int64())]
+        columns += [pa.array([values[c].tobytes() for c in cut], pa.binary()) for values in (starts, shapes, pieces)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(dealt[i : i + 10_000], pa.int32())], [x.split()[0] for x in _RECURRING.split(", ")])
+
+
+_Held = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _reduced(held: _Held) -> tuple[_Held, Iterator[pa.RecordBatch]]:
+    """What a bucket must keep of its anchors, and the places of frequent ones, which needn't wait."""
+    kd, hashes, starts, shapes = (np.concatenate(x) for x in zip(*held, strict=True))
+    anchor, group, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = counts >= OFTEN
+    often[group[shapes == _ELSEWHERE]] = True
+    now, told = often[group], anchor[often]
+    out = now & (shapes != _ELSEWHERE)
+    ready = _handed_on(kd[out], starts[out], shapes[out], _pieces(kd[out], counts[group[out]]))
+    stand = np.zeros(len(told), np.int64), told, np.zeros(len(told), np.uint32), np.full(len(told), _ELSEWHERE, np.uint8)
+    return [(kd[~now], hashes[~now], starts[~now], shapes[~now]), stand], ready
+
+
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of one bucket that are at two places or more: (kd, starts, shapes, salts)."""
-    parts: list[tuple] = []
+    """Anchors of one bucket that are at two places or more, by document, with the piece of each place:
+    0 if its anchor isn't dealt.  Places handed on already pass through."""
+    held: _Held = []
+    size, room = 0, 2 * BUCKET_ANCHORS
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("kds", "counts", "hashes", "starts", "shapes")], strict=True):
-            kds, counts, hashes, starts, shapes = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.uint64, np.uint32, np.uint8), strict=True))
-            parts.append((np.repeat(kds, counts), hashes, starts, shapes))
-    if not parts:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("kds", "counts", "hashes", "starts", "shapes", "pieces")], strict=True):
+            kds, counts, hashes, starts, shapes, pieces = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint32), strict=True))
+            kd = np.repeat(kds, counts)
+            if len(pieces):
+                yield from _handed_on(kd, starts, shapes, pieces)
+                continue
+            held.append((kd, hashes, starts, shapes))
+            size += len(kd)
+            if size >= room:
+                held, ready = _reduced(held)
+                yield from ready
+                size = sum(len(x) for x, *_ in held)
+                room = max(room, 2 * size)
+    if not held:
         return
-    kd, hashes, starts, shapes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    kd, hashes, starts, shapes = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(hashes)
     sorted_hashes = hashes[order]
     same = sorted_hashes[1:] == sorted_hashes[:-1]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    order = order[np.lexsort((starts[order], kd[order], hashes[order]))]
+    order = order[np.lexsort((shapes[order], starts[order], kd[order], hashes[order]))]
     if not len(order):
         return
-    new = np.concatenate([[True], (kd[order[1:]] != kd[order[:-1]]) | (starts[order[1:]] != starts[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])])
+    new = np.arange(len(order)) == 0
+    for values in (kd, starts, hashes, shapes):
+        new[1:] |= values[order[1:]] != values[order[:-1]]
     order = order[new]  # without rows given twice
     group = np.concatenate([[0], np.cumsum(hashes[order[1:]] != hashes[order[:-1]])])
-    size = np.bincount(group)[group]
-    order, size = order[size > 1], size[size > 1]
-    by_doc = np.argsort(kd[order], kind="stable")
-    order, size = order[by_doc], size[by_doc]
-    of = kd[order]
-    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-    ends = np.append(new[1:], len(of))
-    salts = (-(-size // HOT)).astype(np.uint32)
-    for i in range(0, len(new), 10_000):
-        cut = [slice(a, b) for a, b in zip(new[i : i + 10_000], ends[i : i + 10_000], strict=True)]
-        columns = [pa.array(of[new[i : i + 10_000]], pa.int64())]
-        columns += [pa.array([values[c].tobytes() for c in cut], pa.binary()) for values in (starts[order], shapes[order], salts)]
-        yield pa.RecordBatch.from_arrays(columns, ["kd", "starts", "shapes", "salts"])
+    place = shapes[order] != _ELSEWHERE
+    size = np.bincount(group, place).astype(np.int64)[group]
+    dealt = (np.bincount(group, ~place)[group] > 0) | (size > HOT)
+    chosen = place & (dealt | (size > 1))
+    order, size, dealt = order[chosen], size[chosen], dealt[chosen]
+    yield from _handed_on(kd[order], starts[order], shapes[order], np.where(dealt, _pieces(kd[order], size), 0).astype(np.uint32))
 
 
 _TEXTS = "shard int, keys binary, k1s binary, k2s binary, starts binary, windows binary, sizes binary, hot binary, texts binary"
@@ -177,18 +246,18 @@ def _send_texts(shards: int):
                     continue
                 words = text.split()
                 for part in found:
-                    starts, shapes, salts = (np.frombuffer(part[c], t).tolist() for c, t in (("starts", np.uint32), ("shapes", np.uint8), ("salts", np.uint32)))
-                    for start, shape, salt in zip(starts, shapes, salts, strict=True):
+                    starts, shapes, pieces = (np.frombuffer(part[c], t).tolist() for c, t in (("starts", np.uint32), ("shapes", np.uint8), ("pieces", np.uint32)))
+                    for start, shape, piece in zip(starts, shapes, pieces, strict=True):
                         place, windows = start + (shape >> 4), (shape & 15) + 1
                         if start + windows + WINDOW - 1 > len(words):
                             continue  # of another document with the same kd
                         key = xxhash.xxh64_intdigest(b" ".join(words[place : place + GRAM]))
-                        if salt > 1:
-                            key = xxhash.xxh64_intdigest(b"%d %d" % (key, kd % salt))
+                        if piece:
+                            key = xxhash.xxh64_intdigest(b"%d %d" % (key, piece))
                         to = out.get(key % shards)
                         if to is None:
                             to = out[key % shards] = [[], [], [], [], [], [], []]
-                        for values, v in zip(to, (key >> 32, k1, k2, start, windows, salt > 1, b" ".join(words[start : start + windows + WINDOW - 1])), strict=True):
+                        for values, v in zip(to, (key >> 32, k1, k2, start, windows, piece > 0, b" ".join(words[start : start + windows + WINDOW - 1])), strict=True):
                             values.append(v)
             if not out:
                 continue
@@ -340,19 +409,20 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 def found_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents by ``kd``, and ``found``: for each ``kd`` the removed windows' starts (null:
     the whole text is a copy)."""
-    n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
     base, (copies, size) = _base(docs), _copies(docs)
     by_kd = lambda right: base.join(right.hint("shuffle_hash"), "kd", "left")
     flagged = by_kd(copies.groupBy("kd").agg(F.count("*").alias("copies")))
     # About an anchor for 40 bytes of text.
     buckets = buckets_for(docs.sparkSession, size // 40, BUCKET_ANCHORS)
-    recurring = flagged.mapInArrow(freed(_find_anchors(buckets)), _BLOCK).repartitionById(buckets, "bucket").mapInArrow(freed(_recurring), "kd long, starts binary, shapes binary, salts binary")
+    recurring = flagged.mapInArrow(freed(_find_anchors(buckets)), _BLOCK).repartitionById(buckets, "bucket").mapInArrow(freed(_recurring), _RECURRING)
     recurring = stored(recurring, "anchors")
     # Four bytes of starts for each anchor, whose text has about 27 words.
-    shards = buckets_for(docs.sparkSession, (recurring.agg(F.sum(F.octet_length("starts"))).first()[0] or 0) // 4 * 170, SHARD_BYTES)
-    places = recurring.groupBy("kd").agg(F.collect_list(F.struct("starts", "shapes", "salts")).alias("found"))
+    starts, dealt = recurring.agg(F.sum(F.octet_length("starts")), F.sum("dealt")).first()
+    shards = buckets_for(docs.sparkSession, (starts or 0) // 4 * 170, SHARD_BYTES)
+    places = recurring.groupBy("kd").agg(F.collect_list(F.struct("starts", "shapes", "pieces")).alias("found"))
     searched = by_kd(places).mapInArrow(freed(_send_texts(shards)), _TEXTS).repartitionById(shards, "shard").mapInArrow(freed(_search_shard), _FOUND)
+    n = buckets_for(docs.sparkSession, (dealt or 0) * _REACH, TASK_WINDOWS)
     resolved = searched.repartitionById(n, F.pmod(F.col("route"), F.lit(n)).cast("int")).mapInArrow(freed(_resolve), "k1 long, k2 long, starts binary")
     rows = resolved.select(F.xxhash64("k1", "k2").alias("kd"), "k1", "k2", "starts").unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     found = rows.groupBy("kd").agg(F.collect_list(F.struct("k1", "k2", "starts")).alias("found"))
