@@ -88,6 +88,29 @@ def test_folding_of_shuffled_segments(spark, tmp_path):
     assert sorted(map(repr, ((x.session, x.call, x.result, x.kind) for x in got))) == sorted(map(repr, want))
 
 
+def test_state_is_kept_by_group_not_by_session(spark, tmp_path):
+    """Each key of state costs several calls into it a batch; sessions may be any number."""
+    schema = "session string, uid string, ts timestamp, call_id string, is_call boolean, is_error boolean"
+    late = START + dt.timedelta(days=1)
+    names = [None, *(f"s{i}" for i in range(999))]
+    parts = [
+        [(s, "a", START, "x", True, False) for s in names] + [("nobody", "z", late, "x", False, False)],
+        [("nobody", "y", late + dt.timedelta(days=1), "x", False, False)],
+        [(s, "b", late + dt.timedelta(days=2), "x", False, True) for s in names] + [("nobody", "w", late + dt.timedelta(days=9), "x", False, False)],
+        [("nobody", "v", late + dt.timedelta(days=10), "x", False, False)],
+    ]
+    held = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = states.folded(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 minute", keep=10**6, groups=8)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+    assert 0 < max(held) < 100
+    got = spark.read.schema("session string, call string, result string, kind string").parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.session or "", r.call, r.result, r.kind) for r in got) == sorted((s or "", "a", "b", "tool") for s in names)
+
+
 def test_summaries_that_come_later_and_earlier(spark, tmp_path):
     def put(name, rows, schema):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
