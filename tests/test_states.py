@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_sources import agent, text, write
@@ -111,6 +112,53 @@ def test_state_is_kept_by_group_not_by_session(spark, tmp_path):
     assert sorted((r.session or "", r.call, r.result, r.kind) for r in got) == sorted((s or "", "a", "b", "tool") for s in names)
 
 
+class Held:
+    """A value or list in state; as handle, the maker of these and of timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.getListState = self.getValueState = lambda *_: Held()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value or []
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+def in_steps(job, rows, ends):
+    """Results of one group whose rows come all at first, when time goes on in these steps."""
+    handle = Held()
+    job.init(handle)
+    found, new = [], [pa.Table.from_pylist(rows, job.schema)]
+    for end in ends:
+        found += [x for f in job._advance(new, end) for x in f.astype(object).itertuples(index=False, name=None)]
+        new = []
+        assert all(t * 1000 > end for t in handle.timers)
+    return sorted(map(repr, found)), handle.timers
+
+
+@pytest.mark.parametrize("job", [states.Changes, lambda: states.Calls(400)], ids=["changes", "calls"])
+def test_a_group_of_many_sessions_in_any_steps(job):
+    """Steps end anywhere, also at a row's time or when something is due."""
+    r = random.Random(11)
+    rows = [{"session": f"s{r.randrange(200)}", "call_id": "c", "at": r.randrange(3000) * 10**6, "uid": f"u{i:04}", "kind": r.choice(["say", "prompt", "tool"]), "is_call": r.random() < 0.5, "is_error": r.random() < 0.5} for i in range(1500)]
+    once, left = in_steps(job(), rows, [10**12])
+    assert not left and len({x.split("'")[1] for x in once}) > 190
+    for _ in range(3):
+        ends = sorted({r.randrange(100_000) * 10**6 for _ in range(10)} | {x["at"] + 120_000_000 for x in rows[:20]} | {r.randrange(3000) * 10**6 for _ in range(30)})
+        assert in_steps(job(), rows, [*ends, 10**12])[0] == once
+
+
 def test_summaries_that_come_later_and_earlier(spark, tmp_path):
     def put(name, rows, schema):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
