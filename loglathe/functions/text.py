@@ -105,16 +105,27 @@ def note_lines(gist: str | Column) -> Column:
     return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.struct(mark(note_rank(x)).alias("note"), note_rank(x).alias("rank"), note_text(x).alias("text")))
 
 
+#: Quotes at both ends; a run is tried from its first character only, so that long ones take linear time.
+_QUOTES = "^[\"'`]+|(?<![\"'`])[\"'`]+$"
+
+
 def _clean(line: Column) -> Column:
     line = F.trim(F.regexp_replace(line, "^[-*•#]+", ""))
-    line = F.trim(F.regexp_replace(line, "^[\"'`]+|[\"'`]+$", ""))
+    line = F.trim(F.regexp_replace(line, _QUOTES, ""))
     return F.regexp_replace(line, r"\.$", "")
 
 
 def tidy(answer: str | Column) -> Column:
     """An answer as headline and at most three marked lines, alerts first.  Lines end at the first
-    unmarked one below the headline."""
-    lines = F.filter(F.transform(F.split(F.trim(_c(answer)), "\n"), F.trim), lambda x: (x != "") & (_clean(note_text(x)) != ""))
+    unmarked one below the headline.  Only the first four lines with something in them count, so the
+    others aren't looked into."""
+    more = lambda got, x: F.when((F.size(got) >= 4) | (_clean(note_text(x)) == ""), got).otherwise(F.concat(got, F.array(F.trim(x))))
+    first = F.aggregate(F.split(F.trim(_c(answer)), "\n"), F.array().cast("array<string>"), more)
+    # an element of its own, as each mention of an expression would be computed again
+    return F.element_at(F.transform(F.array(first), _headed), 1)
+
+
+def _headed(lines: Column) -> Column:
     head = clip(_clean(note_text(F.element_at(lines, 1))), 140)
     below = F.slice(lines, F.lit(2), F.size(lines))
     marked = lambda x: x.rlike("^[!⚠·*•→>-]")

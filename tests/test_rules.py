@@ -29,6 +29,14 @@ def test_clip_and_flatten(spark):
     assert one(spark, t.preview(F.lit("**see** [the page](http://x.y)"))) == "see the page"
 
 
+def test_tidy_trims_lines_and_looks_no_further_than_four(spark):
+    assert one(spark, t.tidy(F.lit("a\n ·b \n1\n- c"))) == "a\n· b"
+    assert one(spark, t.tidy(F.lit("0 of 3\n1. left"))) == "0 of 3"
+    assert one(spark, t.tidy(F.lit("\n#\na\n - \n-b\n''\n - c\n! d\n! e"))) == "a\n! d\n· b\n· c"
+    # what follows the fourth line costs nothing: an hour when every line was looked into, again and again
+    assert one(spark, t.tidy(F.lit("a\n-b\n-c\n-d" + ("\n-e" + "'" * 50_000 + "f") * 20))) == "a\n· b\n· c\n· d"
+
+
 def test_tidy_sorts_alerts_first(spark):
     assert one(spark, t.tidy(F.lit("\"Done.\"\n- a detail\n! failed\nplain\n- lost"))) == "Done\n! failed\n· a detail"
 
